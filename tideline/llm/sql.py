@@ -28,6 +28,48 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP3 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+), win AS (
+  SELECT rid, i, array_to_string(words[i:i + 2], ' ') AS s FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (
+    SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win JOIN (SELECT rid, s FROM win GROUP BY rid, s HAVING count(*) > 1) USING (rid, s)
+  ) GROUP BY rid
+), raw AS (
+  SELECT rid, host, i, l FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw GROUP BY rid
+), lines AS (
+  SELECT rid, host, i, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+         array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' ') AS s
+  FROM raw
+), near AS (
+  SELECT *, coalesce(lag(s) OVER o, '') || chr(10) || coalesce(lead(s) OVER o, '') AS c FROM lines WINDOW o AS (PARTITION BY rid ORDER BY i)
+), firsts AS (
+  SELECT rid, host, s, arg_min(c, i) AS c, sum(n) AS n FROM near GROUP BY rid, host, s
+), spread AS (
+  SELECT host, s, sum(k)::DOUBLE AS holders, sum(k * k)::DOUBLE AS squares FROM (SELECT host, s, c, count(*) AS k FROM firsts GROUP BY host, s, c) GROUP BY host, s
+), above AS (
+  SELECT a.host, a.s FROM spread a JOIN (SELECT host, count(*) AS documents FROM d GROUP BY host) h ON a.host IS NOT DISTINCT FROM h.host
+  WHERE holders * holders / squares > 20 AND holders * holders / squares > documents * 0.02::DOUBLE
+), gone AS (
+  SELECT rid, sum(n) AS n FROM firsts f JOIN above a ON f.host IS NOT DISTINCT FROM a.host AND f.s = a.s GROUP BY rid
+), x AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.8::DOUBLE * n_words AS kept
+FROM x
+"""
+
 OP8 = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -53,4 +95,4 @@ SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
 FROM dw LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
-ORACLES = {"op1_mixing": OP1, "op8_decontamination": OP8}
+ORACLES = {"op1_mixing": OP1, "op3_quality_rules": OP3, "op8_decontamination": OP8}
