@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontam, mixing, quality_rules, secret_scan, sharding, tokens
+from tideline.llm import decontam, dedup, language, markov, mixing, quality_model, quality_rules, secret_scan, sharding, tokens
 from tideline.session import table
 
 SHARDS = 16
@@ -29,6 +29,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return language.identify_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -43,11 +53,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.drop("hit_words")
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_hidden_markov": op4_hidden_markov,
+    "op5_language": op5_language,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_quality_model": op9_quality_model,
+    "op10_near_duplicates": op10_near_duplicates,
 }
