@@ -12,9 +12,9 @@ occurrences (``"count"``).
 Joining. Texts with one set of elements are one node. Bands of ``ROWS`` coordinates are joined by hash. In a bucket
 every node is paired with one leader (most copies), so a bucket of n nodes gives n - 1 pairs. Pairs are verified
 exactly on the full sets and the links that hold are merged into components. Buckets that then still hold several
-components are joined once more, and pairs of different components go on only if 120 one-bit coordinates differ
-in at most ``MAX_BITS``; those are verified exactly too and merged. No link between texts of one bucket is dropped
-but for the odds stated at the constants.
+components are compared again in tiles: pairs of different components that differ in at most ``MAX_BITS`` of 120
+one-bit coordinates are verified exactly where they lie, and only links that hold leave the task. No link between
+texts of one bucket is dropped but for the odds stated at the constants.
 
 Nothing grows on the driver; lists that are broadcast have a checked number of rows, and beyond it are joined by
 shuffle. Every loop writes its state to the shared folder.
@@ -43,6 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Of 120 one-bit coordinates, a pair at 0.8 differs in 12 on average (deviation 3.3); 26 is 4.3 deviations above.
 MAX_BITS = 26
+#: Nodes in a block of a bucket of several components; a task holds the sets of two blocks.
+TILE = 1024
 #: Lists with more rows are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Elements in one vectorised step, and distinct words whose hashes a worker remembers.
@@ -219,16 +221,17 @@ def _similarity(weighting: str):
     return run
 
 
-def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, weighting: str, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs of nodes whose exact similarity is high enough. ``pairs`` is a written table.
-
-    Only texts of nodes in a pair are read again, one text for each node.
-    """
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def node_sets(docs: DataFrame, signed: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, elements, counts) of the nodes in ``met``; only their texts are read again, one for each node."""
     chosen = materialize(signed.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("node", "row.doc_id", "row.key"), "chosen")
     k, c = _keyed(docs).alias("k"), bounded(chosen).alias("c")
     texts = k.join(c, (F.col("k.key") == F.col("c.key")) & F.col("k.doc_id").eqNullSafe(F.col("c.doc_id"))).select("c.node", "k.text")
-    sets = materialize(texts.mapInArrow(_to_sets, "node binary, elements binary, counts binary"), "sets").dropDuplicates(["node"])
+    return materialize(texts.mapInArrow(_to_sets, "node binary, elements binary, counts binary"), "sets").dropDuplicates(["node"])
+
+
+def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, weighting: str, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the pairs of nodes whose exact similarity is high enough. ``pairs`` is a written table."""
+    sets = node_sets(docs, signed, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     a = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     b = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
     scored = pairs.join(b, "b").join(a, "a").select("a", "b", "ea", "eb", "ca", "cb").mapInArrow(_similarity(weighting), "a binary, b binary, similarity double")
@@ -254,6 +257,67 @@ def components(links: DataFrame, name: str = "labels", max_rounds: int = 100) ->
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _tile_links(weighting: str, similarity: float):
+    """Links of one tile of a bucket between different components, verified exactly; as many as join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, label = table["block"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
+        band, tile, nodes = table["band"][0].as_py(), table["tile"][0].as_py(), table["node"].to_pylist()
+        bits, bands = (np.array(table[c].to_pylist(), np.int64) for c in ("bits", "bands"))
+        bits, block, here = bits.view(np.uint64), np.array(block), int(np.flatnonzero((bands == band).all(0))[0])
+        sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+        weights = [np.ones(len(x)) for x in sets] if weighting == "set" else [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+        total = np.array([w.sum() for w in weights])
+        root = list(range(label.max() + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out_a, out_b = [], []
+        largest = np.bincount(label).argmax()
+        for i in np.flatnonzero(label != largest).tolist():
+            differ = np.bitwise_count(bits[i, 0] ^ bits[:, 0]).astype(np.int16) + np.bitwise_count(bits[i, 1] ^ bits[:, 1])
+            near = (differ <= MAX_BITS) & (label != label[i])
+            if tile["lo"] != tile["hi"]:
+                near &= block != block[i]  # pairs within a block have a tile of their own
+            js = np.flatnonzero(near)
+            if len(js):  # a pair is checked in the first band that it shares
+                js = js[~(bands[js, :here] == bands[i, :here]).any(1)]
+            for at in range(0, len(js), 64):
+                mine = find(label[i])
+                part = [j for j in js[at : at + 64].tolist() if find(label[j]) != mine]
+                if not part:
+                    continue
+                flat, w = np.concatenate([sets[j] for j in part]), np.concatenate([weights[j] for j in part])
+                pos = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+                both = np.add.reduceat(np.where(sets[i][pos] == flat, np.minimum(weights[i][pos], w), 0), np.concatenate([[0], np.cumsum([len(sets[j]) for j in part])[:-1]]))
+                for j, linked in zip(part, both / (total[i] + total[part] - both) >= similarity, strict=True):
+                    if linked and find(label[i]) != find(label[j]):
+                        root[find(label[i])] = find(label[j])
+                        out_a.append(min(nodes[i], nodes[j])), out_b.append(max(nodes[i], nodes[j]))
+        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+
+    return run
+
+
+def crossing_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shared: DataFrame, labels: DataFrame, weighting: str, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of one bucket that are still in different components.
+
+    Buckets of one component are done and drop out. A bucket is cut into blocks of about ``TILE`` nodes, and each two
+    blocks are compared in a task of their own, which holds their sets; what leaves a task are links that hold.
+    """
+    placed = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks")).where("lo != hi")
+    open_ = materialize(placed.join(mixed.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "open")
+    sets = node_sets(docs, signed, open_.select("node").distinct())
+    sets = sets.join(nodes.select("node", "bits", "bands"), "node")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+    tiled = open_.join(sets, "node").select("band", "node", "bits", "bands", "label", "block", "elements", "counts", F.explode(tiles).alias("tile"))
+    return materialize(tiled.groupBy("band", "tile").applyInArrow(_tile_links(weighting, similarity), "a binary, b binary").distinct(), "crossing")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """doc_id, key, node, class_id, class_size: a row for each document.
 
@@ -261,24 +325,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     """
     signed = sign(docs, weighting)
     nodes = materialize(signed.where("size(bands) > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", "copies", "bits", F.explode("bands").alias("band"))
+    members = nodes.select("node", "copies", F.explode("bands").alias("band"))
     # one pass finds, for each bucket, its leader and whether it has more than one node
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("top")).where("n > 1")
-    shared = materialize(members.join(buckets.select("band", F.col("top.node").alias("leader")), "band"), "shared")
+    shared = materialize(members.join(buckets.select("band", F.col("top.node").alias("leader")), "band").select("band", "node", "leader"), "shared")
     first = materialize(shared.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
     links = verify(docs, signed, first, weighting, similarity).select("a", "b")
     labels = components(links)
-    # buckets that still hold several components
-    placed = shared.select("node", "bits", "band").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_ = materialize(placed.join(mixed, "band", "left_semi"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    differ = F.bit_count(F.col("a.bits")[0].bitwiseXOR(F.col("b.bits")[0])) + F.bit_count(F.col("a.bits")[1].bitwiseXOR(F.col("b.bits")[1]))
-    crossing = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (differ <= MAX_BITS))
-    second = crossing.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "crossing")
-    if not second.isEmpty():
-        more = verify(docs, signed, second, weighting, similarity).select("a", "b")
+    more = crossing_links(docs, signed, nodes, shared, labels, weighting, similarity)
+    if not more.isEmpty():
         labels = components(materialize(links.union(more), "all_links"))
     own = F.concat(F.lit(b"\x00null"), F.hex("doc_id").cast("binary"), F.hex("key").cast("binary"))  # a null text is in no class with others
     grouped = signed.select("doc_id", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node", own))
