@@ -37,15 +37,15 @@ def source_targets(sized: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFr
     """One row per source: source, source_size, weight, target.
 
     The sources share all words by weight; a target stops at ``max_repeats`` times the source's size and the
-    excess goes to the others by weight, until none is above. The fixed point is target = min(cap, level * weight);
-    sources sorted by cap / weight fill up first, so one running sum finds the level. The table has a row for each
-    source, so the ordered window handles names of sources, never documents.
+    excess goes to the others by weight, until none is above. The fixed point is target = min(cap, level * weight).
+    Sources fill up in the order of cap / weight; with the first i of them full, the words left over the weight left rise
+    until the next source is no longer below that level and fall from there, so the level is their greatest value, and
+    one running sum finds it. The table has a row for each source: the ordered window handles sources, never documents.
     """
     names = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.col("total")
-    full = F.col("ratio") * F.col("open_weight") <= total - F.col("before")  # its cap is below the level reached so far
     return (
         sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         .withColumn("weight", cyclic_weights(F.row_number().over(names) - 1).cast("double"))
@@ -55,8 +55,8 @@ def source_targets(sized: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFr
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("before", F.sum("cap").over(by_ratio) - F.col("cap"))
         .withColumn("open_weight", F.col("all_weight") - F.sum("weight").over(by_ratio) + F.col("weight"))
-        .withColumn("level", F.min(F.when(~full, (total - F.col("before")) / F.col("open_weight"))).over(everything))
-        .select("source", "source_size", "weight", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+        .withColumn("level", F.max((total - F.col("before")) / F.col("open_weight")).over(everything))
+        .select("source", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
     )
 
 
@@ -94,9 +94,11 @@ def mix(docs: DataFrame, seed: int = 7, max_repeats: float = MAX_REPEATS) -> Dat
     rates = source_targets(sized, max_repeats).select("source", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(max_repeats))).otherwise(0.0).alias("__rate"))
     if len(rates.select("source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    copies = (F.floor("__rate") + (uniform(F.col("d.doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
+    rate = F.col("r.__rate")
+    copies = (F.floor(rate) + (uniform(F.col("d.doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    packed = docs.select(F.struct("*").alias("doc"), "doc_id", "source")
     return (
-        docs.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-        .withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-        .select("d.*")
+        packed.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+        .select("d.doc", copies.alias("copies")).where("copies > 0")
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
     )

@@ -13,9 +13,9 @@ WITH sized AS (
   SELECT *, sum(cap) OVER o - cap AS before, all_weight - sum(weight) OVER o + weight AS open_weight
   FROM s WINDOW o AS (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), l AS (
-  SELECT *, min(CASE WHEN NOT (ratio * open_weight <= total - before) THEN (total - before) / open_weight END) OVER () AS level FROM c
+  SELECT *, max((total - before) / open_weight) OVER () AS level FROM c
 ), t AS (
-  SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l
+  SELECT source, source_size, least(cap, level * weight) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
