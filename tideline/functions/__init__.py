@@ -1 +1,3 @@
-"""See the modules of this subpackage."""
+"""Column functions: numbers, time, imbalances, decision rules."""
+
+from tideline.functions.scalar import *  # noqa: F403
