@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.scalar import argmax_label, softmax
+from tideline.functions.scalar import argmax_label
 from tideline.plans.spec import LABELS
 
 
@@ -39,9 +39,6 @@ class FrozenModel:
         scaled = [(F.col(f).cast("double") - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.scale, strict=True)]
         return [reduce(lambda x, y: x + y, [F.lit(w) * x for w, x in zip(row, scaled, strict=True)], F.lit(b)) for row, b in zip(self.coefficients, self.intercepts, strict=True)]
 
-    def probabilities(self) -> list[Column]:
-        return softmax(self.logits())
-
     def sha256(self) -> str:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
@@ -66,11 +63,19 @@ class FrozenModel:
             raise ValueError(f"the model does not fit: {wrong or 'not converged'}")
 
 
+def softmax_columns(data: DataFrame, logits: list[str], names: list[str], decimals: int | None = None) -> DataFrame:
+    """Replace columns of logits by probabilities, in named steps that keep generated code small."""
+    top = data.withColumn("__top", F.greatest(*logits))
+    powers = top.withColumns({z: F.exp(F.col(z) - F.col("__top")) for z in logits})
+    total = powers.withColumn("__top", reduce(lambda x, y: x + y, [F.col(z) for z in logits]))
+    p = [F.col(z) / F.col("__top") for z in logits]
+    return total.withColumns(dict(zip(names, [F.round(x, decimals) for x in p] if decimals is not None else p, strict=True))).drop("__top", *logits)
+
+
 def score(data: DataFrame, model: FrozenModel, decimals: int | None = None) -> DataFrame:
     """Add p_down, p_unchanged, p_up and argmax; plain columns, no Python on executors."""
-    p = model.probabilities()
-    p = [F.round(x, decimals) for x in p] if decimals is not None else p
-    named = data.withColumns(dict(zip(("p_down", "p_unchanged", "p_up"), p, strict=True)))
+    z = data.withColumns(dict(zip(("__z0", "__z1", "__z2"), model.logits(), strict=True)))
+    named = softmax_columns(z, ["__z0", "__z1", "__z2"], ["p_down", "p_unchanged", "p_up"], decimals)
     return named.withColumn("argmax", argmax_label([F.col("p_down"), F.col("p_unchanged"), F.col("p_up")], LABELS))
 
 
