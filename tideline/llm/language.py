@@ -34,6 +34,7 @@ TRAIN_ROWS = 2500
 ROUNDS = 3
 LONGEST = 40
 REMEMBER = 400_000
+BROADCAST_LANGUAGES = 10_000
 BEGIN = "▁"
 SMOOTH = 0.02
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -107,7 +108,9 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(lang, word, c) over about ``rows`` documents of each language; written to the shared folder."""
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_crc(F.col("doc_id")) % 5 != 0)).select("lang", "text", "doc_id")
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count(F.lit(1))).alias("share"))
+    shares = materialize(usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count(F.lit(1))).alias("share")), "shares")
+    if shares.count() <= BROADCAST_LANGUAGES:  # else the texts shuffle by language
+        shares = F.broadcast(shares)
     place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ship(spark)
     small_batches(spark)
