@@ -47,6 +47,8 @@ MAX_BITS = 26
 TILE = 1024
 #: Lists with more rows are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: A node or class with at least 1 / SHARES of all rows is joined by broadcast; there are at most SHARES of them.
+SHARES = 1000
 #: Elements in one vectorised step, and distinct words whose hashes a worker remembers.
 STEP, REMEMBER = 200_000, 300_000
 
@@ -318,6 +320,17 @@ def crossing_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shared:
     return materialize(tiled.groupBy("band", "tile").applyInArrow(_tile_links(weighting, similarity), "a binary, b binary").distinct(), "crossing")
 
 
+def _join_shares(rows: DataFrame, facts: DataFrame, heavy: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key) by ``key``, without sending the rows of a frequent key to one task.
+
+    ``heavy`` lists the keys that each hold at least 1 / SHARES of all rows: at most SHARES by construction, broadcast.
+    """
+    heavy = F.broadcast(heavy)
+    apart = rows.join(heavy, key, "left_semi").join(F.broadcast(facts.join(heavy, key, "left_semi")), key, how)
+    rest = rows.join(heavy, key, "left_anti").join(facts, key, how)
+    return apart.unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """doc_id, key, node, class_id, class_size: a row for each document.
 
@@ -335,10 +348,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     more = crossing_links(docs, signed, nodes, shared, labels, weighting, similarity)
     if not more.isEmpty():
         labels = components(materialize(links.union(more), "all_links"))
+    heavy_nodes = nodes.where(F.col("copies") * SHARES >= signed.count()).select("node")
+    worded, bare = signed.where("size(bands) > 0"), signed.where("size(bands) = 0")  # null and wordless texts have no links
+    labels_of = _join_shares(worded.select("doc_id", "key", "node"), labels, heavy_nodes, "node", "left").unionByName(bare.select("doc_id", "key", "node", F.lit(None).cast("binary").alias("label")))
     own = F.concat(F.lit(b"\x00null"), F.hex("doc_id").cast("binary"), F.hex("key").cast("binary"))  # a null text is in no class with others
-    grouped = signed.select("doc_id", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node", own))
-    classes = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return grouped.join(classes, "label").select("doc_id", "key", "node", "class_id", "class_size", F.col("label").alias("class_key"))
+    grouped = materialize(labels_of.withColumn("label", F.coalesce("label", "node", own)), "grouped")
+    classes = materialize(grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class_sizes")
+    heavy_classes = classes.where(F.col("class_size") * SHARES >= grouped.count()).select("label")
+    joined = _join_shares(grouped, classes, heavy_classes, "label", "inner")
+    return joined.select("doc_id", "key", "node", "class_id", "class_size", F.col("label").alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
