@@ -223,17 +223,17 @@ def _similarity(weighting: str):
     return run
 
 
-def node_sets(docs: DataFrame, signed: DataFrame, met: DataFrame) -> DataFrame:
+def node_sets(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     """(node, elements, counts) of the nodes in ``met``; only their texts are read again, one for each node."""
-    chosen = materialize(signed.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("node", "row.doc_id", "row.key"), "chosen")
+    chosen = materialize(nodes.join(met, "node", "left_semi").select("node", "row.doc_id", "row.key"), "chosen")
     k, c = _keyed(docs).alias("k"), bounded(chosen).alias("c")
     texts = k.join(c, (F.col("k.key") == F.col("c.key")) & F.col("k.doc_id").eqNullSafe(F.col("c.doc_id"))).select("c.node", "k.text")
     return materialize(texts.mapInArrow(_to_sets, "node binary, elements binary, counts binary"), "sets").dropDuplicates(["node"])
 
 
-def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame, weighting: str, similarity: float) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weighting: str, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs of nodes whose exact similarity is high enough. ``pairs`` is a written table."""
-    sets = node_sets(docs, signed, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = node_sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     a = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     b = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
     scored = pairs.join(b, "b").join(a, "a").select("a", "b", "ea", "eb", "ca", "cb").mapInArrow(_similarity(weighting), "a binary, b binary, similarity double")
@@ -304,7 +304,7 @@ def _tile_links(weighting: str, similarity: float):
     return run
 
 
-def crossing_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shared: DataFrame, labels: DataFrame, weighting: str, similarity: float) -> DataFrame:
+def crossing_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame, labels: DataFrame, weighting: str, similarity: float) -> DataFrame:
     """Links (a, b) between nodes of one bucket that are still in different components.
 
     Buckets of one component are done and drop out. A bucket is cut into blocks of about ``TILE`` nodes, and each two
@@ -313,7 +313,7 @@ def crossing_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shared:
     placed = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks")).where("lo != hi")
     open_ = materialize(placed.join(mixed.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "open")
-    sets = node_sets(docs, signed, open_.select("node").distinct())
+    sets = node_sets(docs, nodes, open_.select("node").distinct())
     sets = sets.join(nodes.select("node", "bits", "bands"), "node")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
     tiled = open_.join(sets, "node").select("band", "node", "bits", "bands", "label", "block", "elements", "counts", F.explode(tiles).alias("tile"))
@@ -337,15 +337,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     class_id is the least id of the class (null ids count only if the class has no other).
     """
     signed = sign(docs, weighting)
-    nodes = materialize(signed.where("size(bands) > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(signed.where("size(bands) > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "key")).alias("row")), "nodes")
     members = nodes.select("node", "copies", F.explode("bands").alias("band"))
     # one pass finds, for each bucket, its leader and whether it has more than one node
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("top")).where("n > 1")
     shared = materialize(members.join(buckets.select("band", F.col("top.node").alias("leader")), "band").select("band", "node", "leader"), "shared")
     first = materialize(shared.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
-    links = verify(docs, signed, first, weighting, similarity).select("a", "b")
+    links = verify(docs, nodes, first, weighting, similarity).select("a", "b")
     labels = components(links)
-    more = crossing_links(docs, signed, nodes, shared, labels, weighting, similarity)
+    more = crossing_links(docs, nodes, shared, labels, weighting, similarity)
     if not more.isEmpty():
         labels = components(materialize(links.union(more), "all_links"))
     heavy_nodes = nodes.where(F.col("copies") * SHARES >= signed.count()).select("node")
