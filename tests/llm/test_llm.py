@@ -76,6 +76,18 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.repeated_words(b"a b c a b c".split()) == 6 and quality_rules.repeated_words(b"a a a a".split()) == 4
 
 
+def test_lines_are_counted_by_distinct_documents(spark):
+    rng = random.Random(6)
+    footer = "all rights are reserved by the host\nread the terms of use here\ncontact us about this page"
+    rows = [(i, f"{words(rng, 70, 9000)}\n{footer}", "block") for i in range(60)]
+    copy = f"{words(rng, 70, 9000)}\nshared line of the host\n{words(rng, 40, 9000)}"
+    rows += [(100 + i, copy, "copies") for i in range(3000)]
+    rows += [(4000 + i, f"{words(rng, 70, 9000)}\nshared line of the host\n{words(rng, 40, 9000)}", "copies") for i in range(30)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i].removed_words for i in range(60)} == {18}  # the inner line of the footer too
+    assert {got[4000 + i].removed_words for i in range(30)} == {got[100].removed_words} == {5}  # the copies hide nothing
+
+
 def test_hidden_markov(docs, none):
     rng = np.random.default_rng(1)
     chain = markov.seed_chain([], np.full(5, 0.2), 3)

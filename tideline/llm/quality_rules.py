@@ -5,10 +5,9 @@ are normalised (A-Z lower-cased, digits to 0, white space to one blank) and hash
 the distinct documents that hold a line are counted. Lines above the limit are removed, and a document most of
 whose words were in such lines is rejected.
 
-Copies of a document are no distinct documents. A line's holders are told apart by the lines just before and after
-it there: with n_c holders for each such neighbourhood c, the number of distinct documents is
-(sum n_c)^2 / sum n_c^2. A line of a group of copies or near copies has nearly always the same neighbours and counts
-about once, whatever the group's size; boilerplate stands among other lines each time and counts with all holders.
+Copies of a document are no distinct documents: holders are told apart by the hash of their whole text, and the size
+of a host, of which ``HOST_SHARE`` is taken, is its number of distinct texts too. So neither a line's neighbours nor a
+group of copies can lower the count of other documents or raise their limit. Near copies are documents of their own.
 
 Cases: null text has no words and fails; empty lines and lines without words are never counted or removed; null
 hosts are one host; repeated rows count as copies; an empty table gives no rows; extra columns pass through
@@ -59,19 +58,15 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(line.translate(_NORMAL).split())) - _SIGN
 
 
-def line_table(text: bytes) -> tuple[int, list[tuple[int, int, int]]]:
-    """(n_dup_lines, [(hash, neighbours, words)]) with an entry for each distinct normalised line, in order."""
+def line_table(text: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """(n_dup_lines, [(hash, words)]) with an entry for each distinct normalised line, in order."""
     raw = [line for line in text.split(b"\n") if line.strip()]
     duplicates = len(raw) - len(set(raw))
-    hashes = [line_hash(line) for line in raw]
-    found: dict[int, list[int]] = {}
-    for i, h in enumerate(hashes):
-        if h in found:
-            found[h][1] += len(raw[i].split())
-        else:
-            before, after = hashes[i - 1] if i else 0, hashes[i + 1] if i + 1 < len(hashes) else 0
-            found[h] = [xxhash.xxh64_intdigest(before.to_bytes(8, "little", signed=True) + after.to_bytes(8, "little", signed=True)) - _SIGN, len(raw[i].split())]
-    return duplicates, [(h, c, n) for h, (c, n) in found.items()]
+    found: dict[int, int] = {}
+    for line in raw:
+        h = line_hash(line)
+        found[h] = found.get(h, 0) + len(line.split())
+    return duplicates, list(found.items())
 
 
 def text_key() -> Column:
@@ -79,8 +74,8 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("near", pa.int64()), ("words", pa.int32())]))
-_SCHEMA = "doc_id long, host string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,near:long,words:int>>"
+_LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int32())]))
+_SCHEMA = "doc_id long, host string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,words:int>>"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +85,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or b""
             words = text.split()
             duplicates, lines = line_table(text)
-            rows.append((len(words), len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, _SYMBOLS)), duplicates, repeated_words(words), [{"h": h, "near": c, "words": n} for h, c, n in lines]))
+            rows.append((len(words), len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, _SYMBOLS)), duplicates, repeated_words(words), [{"h": h, "words": n} for h, n in lines]))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("key"), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], _LINES)], names=["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
 def lines_above(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """(host, h): lines that more distinct documents of the host hold than the limit. Counts go through partial sums."""
-    lines = measured.select("host", F.explode("lines").alias("l")).groupBy("host", "l.h", "l.near").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    spread = lines.groupBy("host", "h").agg(F.sum("n").alias("holders"), F.sum(F.col("n") * F.col("n")).alias("squares")).where(F.col("holders") > min_documents)
-    hosts = measured.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("documents"))
-    distinct = F.col("holders") * F.col("holders") / F.col("squares")
-    return spread.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where((distinct > min_documents) & (distinct > F.col("documents") * host_share)).select("host", "h")
+    lines = measured.select("host", "key", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > min_documents)
+    hosts = measured.select(F.col("host").alias("of"), "key").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("documents"))
+    return lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("holders") > F.col("documents") * host_share).select("host", "h")
 
 
 def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
