@@ -34,8 +34,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the greedy run, so the same as [0-9a-f]+ of 32 or more
-_IDENT = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_IDENT = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")  # whole runs of any length, in one pass
 _URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>/@:]+(?::\d{1,5})?", re.ASCII)
 _ADDRESS = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])", re.ASCII)
 
