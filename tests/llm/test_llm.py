@@ -105,6 +105,23 @@ def test_hidden_markov(docs, none):
     assert len(got) == docs.count() and all(r.score < 0 for r in got) and markov.score_texts(none).count() == 0
 
 
+def test_baum_welch_runs_over_all_training_texts_until_it_settles(docs, monkeypatch):
+    seen, plain = [], markov._round
+
+    def counted(texts, *rest):
+        out = plain(texts, *rest)
+        seen.append((texts.count(), out[1]))
+        return out
+
+    monkeypatch.setattr(markov, "_round", counted)
+    monkeypatch.setattr(markov, "SAMPLE_TOKENS", 5000)
+    rows = markov.score_texts(docs).collect()
+    full = [v for n, v in seen if n == sum(not r.held_out for r in rows)]
+    limit = markov.SETTLED * rows[0].train_tokens
+    gains = [b - a for a, b in zip(full, full[1:], strict=False)]
+    assert gains and all(g > limit for g in gains[:-1]) and gains[-1] <= limit
+
+
 def test_language(docs, none):
     import public_tokenizers
 

@@ -11,8 +11,9 @@ are sent to workers; rarer words reach their counts through a join. Texts are en
 
 Baum-Welch: every task runs forward-backward over windows of ``WINDOW`` tokens of its texts (all tokens, none dropped;
 a window after a text's first starts from a distribution of its own) and returns expected counts, which are summed
-across tasks. First rounds run on a sample of texts of bounded expected size, seeded by k-means++ on a few of them; the
-last ``FULL_ROUNDS`` rounds run over the whole training part. Scoring uses no windows: the recursion runs through whole texts.
+across tasks. A sample of texts, seeded by k-means++ on a few of them, gives the starting point only: from there, rounds
+run over the whole training part until the likelihood settles, that is until a round's gain in log likelihood is at most
+``SETTLED`` a token. Scoring uses no windows: the recursion runs through whole texts.
 
 Cases: null and empty texts are the end alone; an empty training part gives uniform classes; repeated rows are rows
 of their own; rows with one id and different texts are told apart by the text; an empty table gives no rows; extra
@@ -41,7 +42,8 @@ OWN, REST = 20_000, 256
 END, UNUSED = REST, REST + 1  # classes: REST hashed ones, the end, then the words of their own
 HEAD = 300_000
 WINDOW = 128
-SAMPLE_TOKENS, SAMPLE_ROUNDS, FULL_ROUNDS = 600_000, 6, 1
+SAMPLE_TOKENS, SAMPLE_ROUNDS = 600_000, 6
+SETTLED = 0.002
 SEED_TEXTS = 200
 #: Pseudo-counts of the corpus' distribution in each state, of equal moves in each state's moves.
 PRIOR, PRIOR_MOVE = 200.0, 1.0
@@ -205,17 +207,17 @@ def _expect(sent, states: int):
                 part = expectations(chain, windows[at : at + 1024])
                 sums = list(part) if sums is None else [x + y for x, y in zip(sums, part, strict=True)]
         if sums is not None:
-            start, later, move, emit, _ = sums
+            start, later, move, emit, value = sums
             used = np.flatnonzero(emit.sum(1))
-            place = np.concatenate([[-1, -2], -3 - np.arange(states), used])
-            rows = np.concatenate([start[None], later[None], move, emit[used]])
+            place = np.concatenate([[-1, -2], -3 - np.arange(states), [-3 - states], used])
+            rows = np.concatenate([start[None], later[None], move, np.full((1, states), value), emit[used]])
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *[pa.array(rows[:, s]) for s in range(states)]], names=["place", *[f"s{s}" for s in range(states)]])
 
     return run
 
 
-def _round(texts: DataFrame, chain: Chain, prior: np.ndarray) -> Chain:
-    """One Baum-Welch round; what comes to the driver has a row for each class, however many texts there are."""
+def _round(texts: DataFrame, chain: Chain, prior: np.ndarray) -> tuple[Chain, float]:
+    """One Baum-Welch round, and the log likelihood before it; what comes to the driver has a row for each class, however many texts there are."""
     states = len(chain.start)
     sent = texts.sparkSession.sparkContext.broadcast(chain)
     columns = [f"s{s}" for s in range(states)]
@@ -226,7 +228,16 @@ def _round(texts: DataFrame, chain: Chain, prior: np.ndarray) -> Chain:
     zero = np.zeros(states)
     emit = np.zeros_like(chain.emit)
     emit[place[place >= 0]] = values[place >= 0]
-    return estimate(rows.get(-1, zero), rows.get(-2, zero), np.stack([rows.get(-3 - s, zero) for s in range(states)]), emit, prior)
+    return estimate(rows.get(-1, zero), rows.get(-2, zero), np.stack([rows.get(-3 - s, zero) for s in range(states)]), emit, prior), float(rows.get(-3 - states, zero)[0])
+
+
+def settle(texts: DataFrame, chain: Chain, prior: np.ndarray, tokens: int) -> Chain:
+    """Rounds over all texts until one gains no more than ``SETTLED`` a token."""
+    last, gain = -math.inf, math.inf
+    while gain > SETTLED * tokens:  # the likelihood has a bound, so this ends
+        chain, value = _round(texts, chain, prior)
+        last, gain = value, value - last
+    return chain
 
 
 def _score(sent):
@@ -273,9 +284,8 @@ def score_texts(docs: DataFrame, states: int = STATES) -> DataFrame:
     seeds = [np.frombuffer(r.ids, np.uint16) for r in sample.orderBy(F.xxhash64("key"), "ids").limit(SEED_TEXTS).select("ids").collect()]
     chain = seed_chain([t for t in seeds if len(t) > 1], prior, states)
     for _ in range(SAMPLE_ROUNDS):
-        chain = _round(sample, chain, prior)
-    for _ in range(FULL_ROUNDS):
-        chain = _round(train, chain, prior)
+        chain, _ = _round(sample, chain, prior)
+    chain = settle(train, chain, prior, total)
 
     scored = encoded.mapInArrow(_score(spark.sparkContext.broadcast(chain)), "doc_id long, key long, held_out boolean, n_tokens long, base double, rest double, known long, forward double")
     rare = encoded.select("doc_id", "key", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("numbers").alias("n"))).alias("x")).select("doc_id", "key", "x.word", "x.n")
