@@ -54,11 +54,17 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._tideline_sent = True
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts still fits a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch for this session: a batch of very long texts must fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def id_type(docs: DataFrame) -> str:
+    """The type of the column doc_id, for the schema of a Python step that carries it."""
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def doc_crc(doc_id: Column) -> Column:
