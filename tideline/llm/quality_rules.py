@@ -2,29 +2,37 @@
 
 Each text gets its base numbers (words, symbols, repeated lines, words in repeated three-word windows). Its lines
 are normalised (A-Z lower-cased, digits to 0, white space to one blank) and hashed, and for each host (the source)
-the distinct documents that hold a line are counted. Lines above the limit are removed, and a document most of
-whose words were in such lines is rejected.
+the distinct documents that hold a line are counted. Lines above the limit are removed. A document is depleted, and
+rejected, if most of its words were in such lines or if fewer words are left than any document must have.
 
-Copies of a document are no distinct documents: holders are told apart by the hash of their whole text, and the size
-of a host, of which ``HOST_SHARE`` is taken, is its number of distinct texts too. So neither a line's neighbours nor a
-group of copies can lower the count of other documents or raise their limit. Near copies are documents of their own.
+Copies are no distinct documents: documents are told apart by a sketch, the five-word window (A-Z lower-cased) of least hash, which exact
+copies share always and near copies nearly always. So a group of copies, exact or near, counts about once, and neither
+raises a line's count nor hides it: documents that have only a passage in common share a sketch no more often than
+that passage is of their text. The size of a host, of which ``HOST_SHARE`` is taken, is its number of sketches too.
+
+Texts are read twice where they lie and never shuffled: once for lines and sketches, which are counted through partial
+sums, once for the verdict, with the lines above the limit sent to all workers. That list has a counted bound; beyond it,
+documents meet their lines in a salted join.
 
 Cases: null text has no words and fails; empty lines and lines without words are never counted or removed; null
-hosts are one host; repeated rows count as copies; an empty table gives no rows; extra columns pass through
-``clean_documents``, whatever their names.
+hosts are one host; repeated rows count as copies and each gets its verdict; a line that holds exactly the limit stays;
+an empty table gives no rows; very long texts and lines are read whole; extra columns pass through ``clean_documents``,
+whatever their names; ids keep their type.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, materialize, ship, small_batches
+from tideline.llm.common import ASCII_LOWER, as_bytes, discard, id_type, materialize, ship, small_batches
 
 MIN_WORDS = 50
 #: A line is above its limit in a host when more distinct documents hold it than both of these.
@@ -32,7 +40,11 @@ MIN_DOCUMENTS = 20
 HOST_SHARE = 0.02
 #: A document is depleted when more than this share of its words was in removed lines.
 DEPLETED = 0.8
-BROADCAST_LINES = 100_000
+#: Longer lists of lines are joined, each line's rows dealt over ``SALT`` tasks.
+BROADCAST_LINES, SALT = 100_000, 16
+#: The sketch: words in a window, factors of their hashes, and the prime that orders windows.
+SKETCH, FACTORS, PRIME = 5, np.array([1640531527, 1181783497, 2024237689, 1399733957, 1879048201]), 2147483647
+REMEMBER = 300_000
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # white space, and UTF-8 bytes after a character's first
@@ -40,6 +52,29 @@ _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in
 _SIGN = 1 << 63
 
 
+class _WordHashes(dict):
+    """28 bits of a word's MD5, for a bounded number of words."""
+
+    def __missing__(self, word):
+        if len(self) > REMEMBER:
+            self.clear()
+        self[word] = h = int(hashlib.md5(word).hexdigest()[:7], 16)
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def sketch(words: list[bytes]) -> int:
+    """Signed 64-bit hash of the window of least hash; of all words, if they are fewer than a window."""
+    at = 0
+    if len(words) > SKETCH:
+        h = np.fromiter(map(_word_hashes.__getitem__, words), np.int64, len(words))
+        n = len(h) - SKETCH + 1
+        at = int((sum(h[j : n + j] * FACTORS[j] for j in range(SKETCH)) % PRIME).argmin())
+    return xxhash.xxh64_intdigest(b" ".join(words[at : at + SKETCH])) - _SIGN
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window found twice or more."""
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -54,109 +89,138 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def line_hash(line: bytes) -> int:
-    """Signed 64-bit hash of the normalised line."""
-    return xxhash.xxh64_intdigest(b" ".join(line.translate(_NORMAL).split())) - _SIGN
-
-
-def line_table(text: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(n_dup_lines, [(hash, words)]) with an entry for each distinct normalised line, in order."""
-    raw = [line for line in text.split(b"\n") if line.strip()]
-    duplicates = len(raw) - len(set(raw))
-    found: dict[int, int] = {}
-    for line in raw:
-        h = line_hash(line)
-        found[h] = found.get(h, 0) + len(line.split())
-    return duplicates, list(found.items())
+    """Signed 64-bit hash of a line whose letters and digits are normalised already."""
+    return xxhash.xxh64_intdigest(b" ".join(line.split())) - _SIGN
 
 
 def text_key() -> Column:
-    """Tells rows with one id and different texts apart."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    """Digest of the whole text, null apart from empty."""
+    return F.md5("text")
 
 
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int32())]))
-_SCHEMA = "doc_id long, host string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,words:int>>"
+def _host(docs: DataFrame) -> Column:
+    return F.col("source").cast("string").alias("host")
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch and distinct line hashes of each text."""
     for b in batches:
-        rows = []
+        sketches, offsets, hashes = [], [0], []
         for text in as_bytes(b.column("text")):
-            text = text or b""
-            words = text.split()
-            duplicates, lines = line_table(text)
-            rows.append((len(words), len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, _SYMBOLS)), duplicates, repeated_words(words), [{"h": h, "words": n} for h, n in lines]))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("key"), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], _LINES)], names=["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
-
-
-def lines_above(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, h): lines that more distinct documents of the host hold than the limit. Counts go through partial sums."""
-    lines = measured.select("host", "key", F.explode("lines.h").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > min_documents)
-    hosts = measured.select(F.col("host").alias("of"), "key").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("documents"))
-    return lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("holders") > F.col("documents") * host_share).select("host", "h")
-
-
-def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """A row for each document: doc_id, host, key, base numbers, removed_words, removed (hashes), base_failed, kept."""
-    spark = docs.sparkSession
-    ship(spark)
-    small_batches(spark)
-    measured = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), text_key().alias("key"), "text").mapInArrow(_measure, _SCHEMA), "measured")
-    above = materialize(lines_above(measured, min_documents, host_share), "above")
-    if above.count() <= BROADCAST_LINES:
-        above = F.broadcast(above)  # a checked number of rows; beyond it the join shuffles
-    held = measured.select("doc_id", "host", "key", F.explode("lines").alias("l")).select("doc_id", "host", "key", "l.h", "l.words").alias("a")
-    same = F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.h") == F.col("b.h"))
-    hits = held.join(above.alias("b"), same).groupBy("a.doc_id", "a.host", "a.key", "a.h").agg(F.max("a.words").alias("words"))  # equal rows count once
-    removed = hits.groupBy("doc_id", "host", "key").agg(F.sum("words").alias("removed_words"), F.collect_list("h").alias("removed")).alias("r")  # as many as one text has lines
-    m = measured.drop("lines").alias("m")
-    on = F.col("m.key") == F.col("r.key")
-    for c in ("doc_id", "host"):
-        on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        m.join(removed, on, "left").select("m.*", F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"), "r.removed")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words")))
-    )
-
-
-def _without(text: str | None, hashes) -> str | None:
-    gone = set(hashes)
-    return "\n".join(line for line in text.split("\n") if not line.strip(" \t\n\v\f\r") or line_hash(line.encode()) not in gone)
+            normal = (text or b"").translate(_NORMAL)
+            sketches.append(sketch((text or b"").translate(ASCII_LOWER).split()))
+            hashes.extend({line_hash(line) for line in normal.split(b"\n") if line.strip()})
+            offsets.append(len(hashes))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(sketches, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes, pa.int64()))], names=["host", "sketch", "lines"])
+
+
+def lines_above(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
+    """(host, h): lines that more distinct documents of the host hold than the limit; written to the shared folder."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    held = materialize(docs.select(_host(docs), "text").mapInArrow(_lines, "host string, sketch long, lines array<long>"), "lines")
+    lines = held.select("host", "sketch", F.explode("lines").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > min_documents)
+    hosts = held.select(F.col("host").alias("of"), "sketch").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("documents"))
+    above = materialize(lines.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("holders") > F.col("documents") * host_share).select("host", "h"), "above")
+    discard(held)
+    return above
+
+
+def measure(text: bytes | None, gone) -> tuple[int, int, int, int, int, int, bytes | None]:
+    """Base numbers of a text, its words in lines of ``gone``, and the text without these lines (None if it stays)."""
+    text = text or b""
+    words = text.split()
+    raw = [line for line in text.split(b"\n") if line.strip()]
+    removed, left = 0, None
+    if gone:
+        keep = []
+        for line in text.split(b"\n"):
+            if line.strip() and line_hash(line.translate(_NORMAL)) in gone:
+                removed += len(line.split())
+            else:
+                keep.append(line)
+        left = b"\n".join(keep) if removed else None
+    return len(words), len(text.translate(None, _NOT_COUNTED)), len(text) - len(text.translate(None, _SYMBOLS)), len(raw) - len(set(raw)), repeated_words(words), removed, left
 
 
-def clean_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, without the lines above their limit; the columns of ``docs``.
+_NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words")
 
-    n_chars, if it is there and a line went, is set to the new length.
-    """
-    verdicts = judge(docs, **limits).where("kept").select("doc_id", "host", "key", "removed").distinct()
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), text_key().alias("key"))
-    on = F.col("p.key") == F.col("v.key")
-    for c in ("doc_id", "host"):
-        on = on & F.col(f"p.{c}").eqNullSafe(F.col(f"v.{c}"))
-    joined = packed.alias("p").join(verdicts.alias("v"), on).select("p.doc", "v.removed")
-    doc_type = joined.schema["doc"].dataType
-    names = docs.columns
+
+def _verdicts(numbers: dict[str, np.ndarray], depleted: float) -> tuple[np.ndarray, np.ndarray]:
+    n, removed = numbers["n_words"], numbers["removed_words"]
+    failed = (n < MIN_WORDS) | (100 * numbers["n_repeat_words"] > 50 * n)
+    return failed, ~failed & (removed <= depleted * n) & (n - removed >= MIN_WORDS)
+
+
+def _judge(names: list[str] | None, depleted: float, gone_of_host: dict | None):
+    """Rows with numbers and verdict or, with the documents' column names, the documents that are kept, without their removed lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = None if gone_of_host is None else gone_of_host.value
         for b in batches:
-            doc, removed = b.column("doc"), b.column("removed").to_pylist()
-            if any(removed):
-                texts = doc.field("text").to_pylist()
-                at = [i for i, r in enumerate(removed) if r]
-                for i in at:
-                    texts[i] = _without(texts[i], removed[i])
-                fields = [doc.field(n) for n in names]
+            doc = b.column("doc") if names else None
+            column = doc.field(names.index("text")) if names else b.column("text")
+            gone = [lists.get(h) for h in b.column("host").to_pylist()] if lists is not None else [x and frozenset(x) for x in b.column("removed").to_pylist()]
+            rows = [measure(t, g) for t, g in zip(as_bytes(column), gone, strict=True)]
+            numbers = {c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(_NUMBERS)}
+            failed, kept = _verdicts(numbers, depleted)
+            if not names:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, numbers.values()), pa.array(failed), pa.array(kept)], names=["doc_id", *_NUMBERS, "base_failed", "kept"])
+                continue
+            fields = [doc.field(i) for i in range(len(names))]
+            changed = [i for i, r in enumerate(rows) if kept[i] and r[6] is not None]
+            if changed:
+                texts = fields[names.index("text")].to_pylist()
+                for i in changed:
+                    texts[i] = rows[i][6].decode()
                 fields[names.index("text")] = pa.array(texts, fields[names.index("text")].type)
                 if "n_chars" in names:
-                    sizes = doc.field("n_chars").to_pylist()
-                    for i in at:
+                    sizes = fields[names.index("n_chars")].to_pylist()
+                    for i in changed:
                         sizes[i] = len(texts[i])
                     fields[names.index("n_chars")] = pa.array(sizes, fields[names.index("n_chars")].type)
-                doc = pa.StructArray.from_arrays(fields, names=names)
-            yield pa.RecordBatch.from_arrays([doc], names=["doc"])
+            whole = pa.StructArray.from_arrays(fields, fields=list(doc.type))
+            yield pa.RecordBatch.from_arrays([whole.filter(pa.array(kept))], names=["doc"])
+
+    return run
+
+
+def _judged(docs: DataFrame, columns: list, names: list[str] | None, schema: str, limits: dict) -> DataFrame:
+    depleted = limits.pop("depleted", DEPLETED)
+    above = lines_above(docs, **limits)
+    wide = docs.select(*columns, _host(docs), text_key().alias("key"))
+    if above.count() <= BROADCAST_LINES:
+        lists: dict[str | None, set[int]] = {}
+        for r in above.collect():
+            lists.setdefault(r.host, set()).add(r.h)
+        return wide.drop("key").mapInArrow(_judge(names, depleted, docs.sparkSession.sparkContext.broadcast(lists)), schema)
+    # a text of a host has one verdict, however many copies there are; a line's rows are dealt over many tasks
+    salted = above.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")).alias("a")
+    texts = docs.select(_host(docs), "text", text_key().alias("key")).mapInArrow(_lines_of_texts, "host string, key string, lines array<long>")
+    held = texts.select("host", "key", F.explode("lines").alias("h")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).alias("t")
+    met = held.join(salted, F.col("t.host").eqNullSafe(F.col("a.host")) & (F.col("t.h") == F.col("a.h")) & (F.col("t.salt") == F.col("a.salt")), "left_semi")
+    removed = materialize(met.groupBy("host", "key").agg(F.collect_set("h").alias("removed")), "removed").alias("r")  # as many as one text has lines
+    joined = wide.alias("w").join(removed, F.col("w.host").eqNullSafe(F.col("r.host")) & (F.col("w.key") == F.col("r.key")), "left").select("w.*", "r.removed").drop("key", "host")
+    return joined.mapInArrow(_judge(names, depleted, None), schema)
+
+
+def _lines_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lines = [list({line_hash(x) for x in (t or b"").translate(_NORMAL).split(b"\n") if x.strip()}) for t in as_bytes(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("key"), pa.array(lines, pa.list_(pa.int64()))], names=["host", "key", "lines"])
 
-    return joined.mapInArrow(run, f"doc {doc_type.simpleString()}").select("doc.*")
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """A row for each document: doc_id, base numbers, removed_words, base_failed, kept."""
+    schema = f"doc_id {id_type(docs)}, " + ", ".join(f"{c} long" for c in _NUMBERS) + ", base_failed boolean, kept boolean"
+    return _judged(docs, ["doc_id", "text"], None, schema, limits)
+
+
+def clean_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, without the lines above their limit; the columns of ``docs``.
+
+    n_chars, if it is there and a line went, is set to the new length.
+    """
+    packed = F.struct("*").alias("doc")
+    kind = docs.select(packed).schema["doc"].dataType.simpleString()
+    return _judged(docs, [packed], docs.columns, f"doc {kind}", limits).select("doc.*")
