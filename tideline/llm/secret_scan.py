@@ -3,12 +3,14 @@
 Strong findings (base kinds) stand alone: assignments to a secret's name, access identifiers, long hex strings.
 Weak candidates are parts of a credential that mean little alone: identifiers (user names, client and account ids),
 secrets (random-looking strings) and endpoints (URLs with a host, host:port, IPv4 addresses). A weak candidate
-is reported only when a complementary part lies in its scope: the intervals of two parts, each widened by ``SCOPE``
-code points, overlap within one paragraph, and a secret meets an identifier or an endpoint.
-The join of intervals is a sweep over the parts sorted by start; it is linear in the text and never leaves a document.
-
-Cases: null and empty texts have no finding; very long texts are scanned whole; repeated rows are rows of their own;
-an empty table gives no rows; extra columns are ignored.
+is reported only when a complementary part lies in its scope: a secret and an identifier or endpoint, strong or weak, link
+if neither holds the other, they lie in one paragraph, and their intervals, each widened by ``SCOPE`` code points, touch.
+The join of intervals is a sweep over the parts sorted by start and by end. It never leaves a document, each part asks for
+its nearest neighbour only, and a neighbour further on is never needed: it is no closer, and in the same paragraph or beyond.
+
+Cases: null and empty texts have no finding; very long texts, runs and parts are scanned whole, in time linear in the text;
+parts that share a start or an end nest, so they do not link with each other; parts at one distance all count; repeated
+rows are rows of their own; an empty table gives no rows; extra columns, of whatever name, are ignored; ids keep their type.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ship, small_batches
+from tideline.llm.common import id_type, ship, small_batches
 
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
 BASE_KINDS = KINDS[:3]
@@ -36,7 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the greedy run, so the same as [0-9a-f]+ of 32 or more
 _IDENT = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")  # whole runs of any length, in one pass
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>/@:]+(?::\d{1,5})?", re.ASCII)
+_HOST = re.compile(r"://[^\s\"'<>/@:]+(?::\d{1,5})?", re.ASCII)  # a URL's scheme is found backwards from here
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 _ADDRESS = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])", re.ASCII)
 
 
@@ -59,40 +62,59 @@ def looks_random(s: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) > 3.0
 
 
+def urls(text: str) -> list[tuple[int, int]]:
+    """Spans of scheme://host and port: the scheme is the longest run before that starts with a letter."""
+    out, edge = [], 0
+    for m in _HOST.finditer(text):
+        start = at = m.start()
+        while at > edge and text[at - 1] in _SCHEME:
+            at -= 1
+            if "a" <= text[at] <= "z":
+                start = at
+        if start < m.start():
+            out.append((start, m.end()))
+            edge = m.end()
+    return out
+
+
 def weak_parts(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "=" in text or ":" in text:
         out += [(m.start(), m.end(), "ident") for m in _IDENT.finditer(text)]
-    out += [(m.start(), m.end(), "endpoint") for m in (*_URL.finditer(text), *_ADDRESS.finditer(text))]
+    out += [(a, b, "endpoint") for a, b in urls(text)] + [(m.start(), m.end(), "endpoint") for m in _ADDRESS.finditer(text)]
     if out or "AKIA" in text:  # a weak secret needs a partner
         out += [(m.start(), m.end(), "secret") for m in _SECRET.finditer(text) if looks_random(m[0])]
     return out
 
 
+ROLES = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "partner", "ident": "partner", "endpoint": "partner"}
+
+
+def _reached(parts: list[tuple[int, int, str, int]], scope: int) -> set[tuple[int, int, str, int]]:
+    """Parts (start, end, role, paragraph) that a part of the other role reaches from before: it starts and ends earlier."""
+    ends: dict[str, list[tuple[int, int]]] = {"secret": [], "partner": []}  # (end, paragraph) of the parts that start earlier, sorted
+    good, at = set(), 0
+    parts = sorted(parts)
+    for i, (start, end, role, paragraph) in enumerate(parts):
+        while parts[at][0] < start:  # parts with one start do not see each other
+            insort(ends[parts[at][2]], (parts[at][1], parts[at][3]))
+            at += 1
+        other = ends["partner" if role == "secret" else "secret"]
+        k = bisect_left(other, (end, -1)) - 1  # of those that end earlier, the one that ends last
+        if k >= 0 and other[k][1] == paragraph and start - other[k][0] <= 2 * scope:
+            good.add(parts[i])
+    return good
+
+
 def linked(text: str, strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """Weak parts with a complementary part, strong or weak, in scope."""
     if not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
-    role = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "partner", "ident": "partner", "endpoint": "partner"}
-    parts = sorted((s, e, k, role[k]) for s, e, k in (*strong, *weak))
-    good: set[tuple[int, int, str]] = set()
-    last: dict[str, tuple[int, int, str]] = {}  # of each role, the part that reaches furthest right so far
-    for s, e, k, r in parts:
-        other = last.get("partner" if r == "secret" else "secret")
-        # parts of the other role that start before this one and reach into its scope
-        if other and s - other[1] <= 2 * scope and bisect_left(breaks, other[1]) == bisect_left(breaks, s) and not (other[0] <= s and e <= other[1]):
-            good |= {(s, e, k), other}
-        if r not in last or e >= last[r][1]:
-            last[r] = (s, e, k)
-    # the nearest later part of the other role, for parts that were not the furthest when it came
-    last = {}
-    for s, e, k, r in reversed(parts):
-        other = last.get("partner" if r == "secret" else "secret")
-        if other and other[0] - e <= 2 * scope and bisect_left(breaks, e) == bisect_left(breaks, other[0]) and not (s <= other[0] and other[1] <= e):
-            good |= {(s, e, k), other}
-        last[r] = (s, e, k)
-    return [w for w in weak if w in good]
+    place = {x: (x[0], x[1], ROLES[x[2]], bisect_left(breaks, x[0])) for x in (*strong, *weak)}
+    forwards = _reached(list(place.values()), scope)
+    backwards = _reached([(-e, -s, r, p) for s, e, r, p in place.values()], scope)  # the same from behind
+    return [w for w in weak if (x := place[w]) in forwards or (-x[1], -x[0], x[2], x[3]) in backwards]
 
 
 def _outside(weak: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -140,7 +162,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                 out.append([{"kind": k, "start": s, "end": e, "base": is_base} for s, _, e, k, is_base in sorted(found)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], names=["doc_id", "findings"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, findings array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, findings array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
