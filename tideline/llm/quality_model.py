@@ -4,14 +4,17 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2
 pairwise interactions cost one pass over a text's features.
 
 Features: distinct lower-cased words hashed to ``WORD_BINS``, each of value 1/sqrt(their number); statistics of the
-text's structure (lengths, shares of capitals, digits, symbols and punctuation, repetition, lines), each cut into bins
-with one feature for a bin. Nothing but the text is read for a score.
+text's structure (lengths, shares of capitals, digits, symbols and punctuation, repetition, lines) and numbers that come
+with the document (``METADATA``: its recorded length), each cut into bins with one feature for a bin. Labels, language,
+source and id are never read for a score.
 
-Training takes a bounded sample of labelled rows: at most about ``TRAIN_ROWS`` rows, chosen by the hash of their id.
-Features are made on executors; the driver fits by mini-batches with AdaGrad. Scoring is one pass over all texts.
+Training takes a bounded sample of labelled rows: at most ``TRAIN_ROWS`` rows, chosen by the hash of their id, and of these
+as many as have ``TRAIN_FEATURES`` features together. Features are made on executors; the driver fits by mini-batches
+with AdaGrad. Scoring is one pass over all texts.
 
-Cases: null text counts as empty and is scored; no labels give 0.5 for all; repeated labels of one document all
-count; rows with a null label or id are not learned; an empty table gives no rows; extra columns are ignored.
+Cases: null text counts as empty and is scored; null, negative or missing metadata have a bin of their own; no labels give
+0.5 for all, which predicts 1; repeated labels of one document all count; rows with a null label or id are not learned; an
+empty table gives no rows; very long texts are read whole; extra columns, of whatever name, are ignored; ids keep their type.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ASCII_LOWER, as_bytes, doc_crc, ship, small_batches
+from tideline.llm.common import ASCII_LOWER, as_bytes, doc_crc, id_type, materialize, ship, small_batches
 
 WORD_BINS = 1 << 15
 STAT_BINS = 24
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 12_000_000
+#: Columns beside the text that a score may use.
+METADATA = ("n_chars",)
 RANK, EPOCHS, BATCH, RATE, DECAY = 8, 6, 64, 0.08, 1e-5
 REMEMBER = 300_000
 
@@ -59,17 +64,22 @@ def statistics(text: bytes, words: list[bytes], distinct: int) -> list[float]:
     ]
 
 
-N_STATS = 12
+N_STATS = 12 + len(METADATA)
 SIZE = WORD_BINS + N_STATS * STAT_BINS
 
 
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values) of a text."""
+def _known(value: float | None) -> float:
+    """A metadata number on the scale of the statistics, by its logarithm; 0, which no such number has, where there is none."""
+    return min(1.0, (1.5 + math.log1p(value)) / STAT_BINS) if value is not None and value >= 0 else 0.0
+
+
+def features(text: bytes | None, metadata: tuple = (None,) * len(METADATA)) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values) of a text and its metadata."""
     text = text or b""
     words = text.translate(ASCII_LOWER).split()
     distinct = set(words)
     bins = np.fromiter(map(_bins.__getitem__, distinct), np.int32, len(distinct))
-    stats = [WORD_BINS + f * STAT_BINS + min(STAT_BINS - 1, int(v * STAT_BINS)) for f, v in enumerate(statistics(text, words, len(distinct)))]
+    stats = [WORD_BINS + f * STAT_BINS + min(STAT_BINS - 1, int(v * STAT_BINS)) for f, v in enumerate([*statistics(text, words, len(distinct)), *map(_known, metadata)])]
     return np.concatenate([bins, np.array(stats, np.int32)]), np.concatenate([np.full(len(bins), 1 / math.sqrt(max(1, len(bins))), np.float32), np.full(N_STATS, 0.5, np.float32)])
 
 
@@ -118,6 +128,16 @@ class Machine:
         return self
 
 
+def _inputs(docs: DataFrame) -> list:
+    """The text and the metadata that the documents have."""
+    return [F.col("text"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast("double").alias(f"metadata_{c}") for c in METADATA]]
+
+
+def _made(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    known = zip(*(b.column(f"metadata_{c}").to_pylist() for c in METADATA), strict=True)
+    return [features(t, m) for t, m in zip(as_bytes(b.column("text")), known, strict=True)]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Features and labels of the sample, at most ``rows``; the sample depends on ids alone."""
     spark = docs.sparkSession
@@ -127,15 +147,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     total = usable.count()
     chosen = usable.where(place < F.lit(int((1 << 30) * min(1.0, rows / max(1, total)))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.orderBy(place, "doc_id", "y").limit(rows)), "doc_id").select("doc_id", "y", "text")
+    texts = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen.orderBy(place, "doc_id", "y").limit(rows)), "doc_id").select(place.alias("place"), "y", "text", *[f"metadata_{c}" for c in METADATA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t) for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["doc_id", "y", "i", "x"])
-
-    made = texts.mapInArrow(run, "doc_id long, y int, i binary, x binary").toArrow()
-    out = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y, d) for d, y, i, x in zip(*(made[c].to_pylist() for c in ("doc_id", "y", "i", "x")), strict=True)]
+            found = _made(b)
+            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("y"), pa.array([len(i) for i, _ in found], pa.int64()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["place", "y", "n", "i", "x"])
+
+    table = materialize(texts.mapInArrow(run, "place long, y int, n long, i binary, x binary"), "features")
+    count = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("place").alias("most")).first()
+    if count.n > TRAIN_FEATURES:  # very long texts: fewer of them
+        table = table.where(F.col("place") < F.lit(int(count.most * TRAIN_FEATURES / count.n)))
+    made = table.toArrow()
+    out = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y, d) for d, y, i, x in zip(*(made[c].to_pylist() for c in ("place", "y", "i", "x")), strict=True)]
     return [r[:3] for r in sorted(out, key=lambda r: (r[3], r[2], r[0].tobytes()))]
 
 
@@ -149,11 +173,11 @@ def score_quality(docs: DataFrame, machine: Machine | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            raw = np.array([m.raw(*features(t)) if m else 0.0 for t in as_bytes(b.column("text"))], np.float64)
+            raw = np.array([m.raw(*x) for x in _made(b)] if m else np.zeros(len(b)), np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(raw, -500, 500))))], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (doc_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select("doc_id", (doc_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), *_inputs(docs))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
