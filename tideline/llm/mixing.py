@@ -4,11 +4,12 @@
 ``mix_copies`` gives every document its number of copies, ``mix`` emits the copies.
 
 A document is emitted floor(rate) times, and once more if a hash-seeded uniform number is below the
-fraction of the rate. The number depends on the id and the seed alone: reruns agree, and so do rows with one id.
+fraction of the rate. The number depends on the id and the seed alone (of a null id, on the text): reruns agree, and so
+do rows with one id.
 
 Cases: null text has size 0; null source is a source of its own, last in order; a source of size 0 has target 0
-and takes nothing; an empty table gives an empty result. Repeated rows are documents of their own.
-Extra columns pass through; names that this module adds replace columns of the same name in the digest only.
+and takes nothing; sources that tie in cap / weight fill up by name; an empty table gives an empty result; repeated rows are
+documents of their own; very long texts are counted whole. Extra columns, of whatever name, pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -60,9 +61,14 @@ def source_targets(sized: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFr
     )
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the id: the first 52 bits of an MD5."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+def draw(doc_id: Column, text: Column) -> Column:
+    """What a document's number is drawn from: the id or, if that is null, a digest of the text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def uniform(drawn: Column, seed: int) -> Column:
+    """A number in [0, 1): the first 52 bits of an MD5."""
+    text = F.concat(drawn, F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -71,17 +77,17 @@ def mix_copies(docs: DataFrame, seed: int = 7, max_repeats: float = MAX_REPEATS)
 
     The texts are read once: ids, sources and sizes go to a table in the shared folder, a hundredth of the input.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", draw(F.col("doc_id"), F.col("text")).alias("drawn"), word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sized, max_repeats)
-    if len(targets.select("source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES:
+    if targets.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)  # within a checked number of rows; beyond, AQE splits a hot source's side
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(max_repeats))).otherwise(0.0)
     return (
         sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", rate.alias("rate"))
-        .withColumn("copies", F.floor("rate") + (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long"))
+        .select("d.doc_id", "d.source", "d.size", "d.drawn", "t.source_size", "t.target", rate.alias("rate"))
+        .withColumn("copies", F.floor("rate") + (uniform(F.col("drawn"), seed) < F.col("rate") - F.floor("rate")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("rate")
+        .drop("rate", "drawn")
     )
 
 
@@ -90,13 +96,13 @@ def mix(docs: DataFrame, seed: int = 7, max_repeats: float = MAX_REPEATS) -> Dat
 
     Rates are computed per source and applied to the whole rows where they lie, so texts are never shuffled.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = materialize(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     rates = source_targets(sized, max_repeats).select("source", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(max_repeats))).otherwise(0.0).alias("__rate"))
-    if len(rates.select("source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES:
+    if rates.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rate = F.col("r.__rate")
-    copies = (F.floor(rate) + (uniform(F.col("d.doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    packed = docs.select(F.struct("*").alias("doc"), "doc_id", "source")
+    copies = (F.floor(rate) + (uniform(F.col("d.drawn"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    packed = docs.select(F.struct("*").alias("doc"), draw(F.col("doc_id"), F.col("text")).alias("drawn"), "source")
     return (
         packed.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
         .select("d.doc", copies.alias("copies")).where("copies > 0")

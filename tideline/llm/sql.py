@@ -2,7 +2,7 @@
 
 OP1 = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS drawn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), w AS (
@@ -19,7 +19,7 @@ WITH sized AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':7'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5(d.drawn || ':7'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
@@ -32,33 +32,37 @@ OP3 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS normal
+  FROM d
 ), win AS (
   SELECT rid, i, array_to_string(words[i:i + 2], ' ') AS s FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (
     SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win JOIN (SELECT rid, s FROM win GROUP BY rid, s HAVING count(*) > 1) USING (rid, s)
   ) GROUP BY rid
+), hashed AS (
+  SELECT rid, normal, list_transform(normal, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM w
+), five AS (
+  SELECT rid, array_to_string(normal[i:i + 4], ' ') AS s, (h[i] * 1640531527 + h[i + 1] * 1181783497 + h[i + 2] * 2024237689 + h[i + 3] * 1399733957 + h[i + 4] * 1879048201) % 2147483647 AS v
+  FROM (SELECT rid, normal, h, unnest(range(1, len(normal) - 3)) AS i FROM hashed WHERE len(normal) > 4)
+), sketch AS (
+  SELECT rid, host, coalesce(f.s, array_to_string(normal, ' ')) AS s FROM w LEFT JOIN (SELECT rid, arg_min(s, v) AS s FROM five GROUP BY rid) f USING (rid)
 ), raw AS (
   SELECT rid, host, i, l FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw GROUP BY rid
 ), lines AS (
-  SELECT rid, host, i, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT rid, host, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
          array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' ') AS s
   FROM raw
-), near AS (
-  SELECT *, coalesce(lag(s) OVER o, '') || chr(10) || coalesce(lead(s) OVER o, '') AS c FROM lines WINDOW o AS (PARTITION BY rid ORDER BY i)
-), firsts AS (
-  SELECT rid, host, s, arg_min(c, i) AS c, sum(n) AS n FROM near GROUP BY rid, host, s
-), spread AS (
-  SELECT host, s, sum(k)::DOUBLE AS holders, sum(k * k)::DOUBLE AS squares FROM (SELECT host, s, c, count(*) AS k FROM firsts GROUP BY host, s, c) GROUP BY host, s
 ), above AS (
-  SELECT a.host, a.s FROM spread a JOIN (SELECT host, count(*) AS documents FROM d GROUP BY host) h ON a.host IS NOT DISTINCT FROM h.host
-  WHERE holders * holders / squares > 20 AND holders * holders / squares > documents * 0.02::DOUBLE
+  SELECT a.host, a.line FROM (SELECT l.host, l.s AS line, count(DISTINCT k.s) AS holders FROM lines l JOIN sketch k USING (rid) GROUP BY l.host, l.s) a
+  JOIN (SELECT host, count(DISTINCT s) AS documents FROM sketch GROUP BY host) h ON a.host IS NOT DISTINCT FROM h.host
+  WHERE holders > 20 AND holders > documents * 0.02::DOUBLE
 ), gone AS (
-  SELECT rid, sum(n) AS n FROM firsts f JOIN above a ON f.host IS NOT DISTINCT FROM a.host AND f.s = a.s GROUP BY rid
+  SELECT rid, sum(n) AS n FROM lines l JOIN above a ON l.host IS NOT DISTINCT FROM a.host AND l.s = a.line GROUP BY rid
 ), x AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
@@ -66,7 +70,7 @@ WITH d AS (
   FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.8::DOUBLE * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.8::DOUBLE * n_words AND n_words - removed_words >= 50 AS kept
 FROM x
 """
 
