@@ -12,8 +12,11 @@ broadcast joins: no row is shuffled for it and no hot group meets in a task.
 Slots: rows are numbered within (shard, chunk of ids) and shifted by the number of rows in earlier chunks, so that
 no task sorts a whole shard.
 
-Cases: null texts are one group, of size 1 a row; empty texts another; an empty table gives no rows.
-Repeated rows are rows of their own. Extra columns, of whatever name, pass through ``shard_documents``.
+Cases: null texts are one group, of size 1 a row; empty texts another; an empty table gives no rows; groups that tie in
+size are taken by key, and rows that tie in id and text are numbered in any order, which their columns do not show; a
+very long text, or a group of more bytes than a shard's share, has a shard to itself as far as the rest allows. Repeated
+rows are rows of their own. Extra columns, of whatever name, pass through ``shard_documents``, but for one named
+``shard``, which is replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ where the text has no ``<|``: the library lower-cases, drops white space and nev
 special strings hold none, so the pieces of a text are those of its pre-tokens, each as the library itself counts it.
 
 Cases: null counts as empty (0 bytes, 0 tokens); repeated rows come back as often as they are there; rows with one
-id and different texts stay apart; an empty table gives no rows; extra columns are ignored.
+id and different texts stay apart; words that tie at the threshold are all sent to workers or all joined; an empty table
+gives no rows; very long texts and runs without blanks are counted whole; extra columns, of whatever name, are ignored; ids
+keep their type.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, materialize, ship, small_batches
+from tideline.llm.common import as_bytes, id_type, materialize, ship, small_batches
 from tideline.llm.wordtable import HEAD, head_threshold, word_counts
 
 LIMIT = 2048
@@ -88,11 +90,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEA
                     ids.extend(repeat(doc_id, n)), keys.extend(repeat(key, n)), words_out.extend(found), numbers.extend(found.values())
                     bases.extend(repeat(0, n)), rows.extend(repeat(0, n)), sizes.extend(repeat(0, n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(words_out, pa.binary()), pa.array(numbers, pa.int32()), pa.array(bases, pa.int64()), pa.array(rows, pa.int32()), pa.array(sizes, pa.int64())],
+                [pa.array(ids, b.column("doc_id").type), pa.array(keys, pa.int64()), pa.array(words_out, pa.binary()), pa.array(numbers, pa.int32()), pa.array(bases, pa.int64()), pa.array(rows, pa.int32()), pa.array(sizes, pa.int64())],
                 names=["doc_id", "key", "word", "n", "base", "rows", "bytes"],
             )
 
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text").mapInArrow(run, "doc_id long, key long, word binary, n int, base long, rows int, bytes long")
+    parts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text").mapInArrow(run, f"doc_id {id_type(docs)}, key long, word binary, n int, base long, rows int, bytes long")
     rare = pieces.where(F.col("c") < least).select("word", "pieces")
     summed = (
         parts.join(rare, "word", "left")
