@@ -72,14 +72,6 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
     return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
 
 
-def softmax(logits: list[Column]) -> list[Column]:
-    """Probabilities with the largest logit subtracted first."""
-    top = F.greatest(*logits)
-    powers = [F.exp(x - top) for x in logits]
-    total = reduce(lambda x, y: x + y, powers)
-    return [p / total for p in powers]
-
-
 def argmax_label(probabilities: list[Column], labels: tuple[int, ...] = (-1, 0, 1)) -> Column:
     """The label of the greatest probability; the first of them on ties."""
     top = F.greatest(*probabilities)
@@ -102,15 +94,17 @@ def parse_bool(c: Column) -> Column:
 
 
 #: The date formats that are accepted, in this order.
-DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d.%m.%Y", "%Y%m%d")
+DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%Y%m%d")
 
 
 def parse_date(value: str | date | datetime) -> date:
-    """A date from text in one of ``DATE_FORMATS``; month-first text is rejected."""
+    """A date from text in one of ``DATE_FORMATS``; with slashes or dashes the day comes before the month, never after."""
     if isinstance(value, datetime):
         return value.date()
     if isinstance(value, date):
         return value
+    if not isinstance(value, str):
+        raise TypeError(f"a date, or text of one, is needed, not {type(value).__name__}")
     for form in DATE_FORMATS:
         try:
             return datetime.strptime(value.strip(), form).date()
@@ -127,6 +121,12 @@ def dates_between(start: str | date, end: str | date) -> list[date]:
     return [a + timedelta(days=i) for i in range((b - a).days + 1)]
 
 
+def window_us(start: str | date, end: str | date) -> tuple[int, int]:
+    """Microseconds of the first midnight and, since the end's day is included, of the midnight after it."""
+    days = dates_between(start, end)
+    return tuple((d - date(1970, 1, 1)).days * DAY_US for d in (days[0], days[-1] + timedelta(days=1)))
+
+
 def parse_horizons(text: str) -> tuple[int, ...]:
     """'10,20,50' as sorted unique positive numbers."""
     out = tuple(int(x) for x in text.split(",") if x.strip())
@@ -135,6 +135,14 @@ def parse_horizons(text: str) -> tuple[int, ...]:
     return tuple(sorted(out))
 
 
+def parse_splits(text: str, known: tuple[str, ...]) -> tuple[str, ...]:
+    """'train,test' as unique known names, in the order given."""
+    out = tuple(x.strip() for x in text.split(",") if x.strip())
+    if not out or len(set(out)) != len(out) or not set(out) <= set(known):
+        raise ValueError(f"splits must be unique and among {known}: {text!r}")
+    return out
+
+
 def json_ready(value):
     """Non-finite numbers become None, tuples lists, dates text; for JSON side files."""
     if isinstance(value, float) and not math.isfinite(value):

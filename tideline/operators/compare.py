@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.ranks import quantiles
+
 METRICS = ("accuracy", "macro_f1", "balanced_accuracy")
 
 
@@ -12,6 +14,20 @@ def comparison(metrics: DataFrame, splits: tuple[str, ...] = ("validation",)) ->
     return metrics.where(F.col("split").isin(*splits)).select("model", "horizon", "split", "n_obs", *METRICS)
 
 
+NONZERO = ("nonzero_n_obs", "nonzero_accuracy", "nonzero_macro_f1", "nonzero_balanced_accuracy")
+
+
+def nonzero_comparison(metrics: DataFrame, splits: tuple[str, ...] = ("validation",)) -> DataFrame:
+    """The same for rows whose true class is not 0."""
+    return metrics.where(F.col("split").isin(*splits)).select("model", "horizon", "split", *NONZERO)
+
+
+def benchmark_merge(runs: DataFrame) -> DataFrame:
+    """engine, run, seconds (mean of its repetitions) and the median of all repetitions of the engine."""
+    medians = quantiles(runs, ["engine"], "seconds", (0.5,)).withColumnRenamed("q0", "median_seconds")
+    return runs.groupBy("engine", "run").agg(F.avg("seconds").alias("seconds")).join(F.broadcast(medians), "engine")  # a row for each engine
+
+
 def deltas_vs(metrics: DataFrame, reference: str) -> DataFrame:
     """Differences of each model's metrics to those of the reference model, by horizon and split."""
     ref = metrics.where(F.col("model") == reference).select("horizon", "split", *[F.col(m).alias(f"ref_{m}") for m in METRICS])

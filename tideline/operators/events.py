@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import DAY_US, all_finite, midprice, relative_spread
-from tideline.operators.ordering import dense_ids, previous_row
+from tideline.operators.ordering import bucket_width, dense_ids, previous_row
+from tideline.operators.validate import check_quote_order
 from tideline.plans.spec import BOOK_STATE
 
 ORDER = ["us", "update_id"]
@@ -27,8 +28,16 @@ def collapse(quotes: DataFrame, width: int = DAY_US) -> DataFrame:
     return seen.where(F.col("before").isNull() | ~same).drop("before")
 
 
-def build_events(quotes: DataFrame, width: int = DAY_US) -> DataFrame:
-    """event_id, us, update_id, the book's state, midprice, relative_spread."""
+def build_events(quotes: DataFrame, width: int | None = None, check: bool = False) -> DataFrame:
+    """event_id, us, update_id, the book's state, midprice, relative_spread.
+
+    ``width`` is that of the time buckets (derived from the number of quotes if not given). With ``check``, quotes must come in source order (raw_row_number), and at least one event must be left.
+    """
+    if check:
+        check_quote_order(quotes)
+        if quotes.where(valid_quote()).isEmpty():
+            raise ValueError("quotes: no valid quote, so no event")
+    width = width or bucket_width(quotes)
     bid, ask = F.col("bid_price"), F.col("ask_price")
     return dense_ids(collapse(quotes, width), ORDER, width=width).select("event_id", "us", "update_id", *BOOK_STATE, midprice(bid, ask).alias("midprice"), relative_spread(bid, ask).alias("relative_spread"))
 

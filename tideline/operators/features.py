@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.scalar import DAY_US, is_finite, queue_imbalance, relative_spread_f32, signed_imbalance
+from tideline.functions.scalar import is_finite, queue_imbalance, relative_spread_f32, signed_imbalance
 from tideline.operators.ordering import core, with_halo
 from tideline.operators.timerange import trade_flow
+from tideline.operators.validate import check_events, check_trades
 from tideline.plans.spec import LABELS, Spec
 
 VOL_WINDOW, RETURN_LAG = 20, 5
@@ -44,7 +45,7 @@ def book_and_labels(events: DataFrame, spec: Spec, bucket: int = BUCKET) -> Data
     )
 
 
-def flow_features(events: DataFrame, trades: DataFrame, spec: Spec, bucket_us: int = DAY_US) -> DataFrame:
+def flow_features(events: DataFrame, trades: DataFrame, spec: Spec, bucket_us: int | None = None) -> DataFrame:
     """event_id, trade_intensity, both imbalances, has_full_lookback (against the first trade of all)."""
     flow = trade_flow(events.select("event_id", "us"), trades, spec.lookback_us, bucket_us)
     first = trades.agg(F.min("us").alias("first_trade"))  # one row
@@ -54,8 +55,11 @@ def flow_features(events: DataFrame, trades: DataFrame, spec: Spec, bucket_us: i
     )
 
 
-def build_features(events: DataFrame, trades: DataFrame, spec: Spec, bucket: int = BUCKET) -> DataFrame:
-    """The feature table: ids, time, eleven features, labels, has_full_lookback, feature_complete."""
+def build_features(events: DataFrame, trades: DataFrame, spec: Spec, bucket: int = BUCKET, check: bool = True) -> DataFrame:
+    """The feature table: ids, time, eleven features, labels, has_full_lookback, feature_complete. Events and trades are checked first."""
+    if check:
+        check_events(events)
+        check_trades(trades)
     joined = book_and_labels(events, spec, bucket).join(flow_features(events, trades, spec), "event_id")
     complete = F.col("has_full_lookback") & reduce(lambda x, y: x & y, [is_finite(F.col(c)) for c in FLOAT_FEATURES])
     return joined.withColumn("feature_complete", complete)
@@ -69,9 +73,21 @@ def label_distribution(labelled: DataFrame, horizons: tuple[int, ...]) -> DataFr
     return labelled.agg(*counts).select(F.explode(rows).alias("r")).select("r.*").withColumn("proportion", F.when(total > 0, F.col("n") / total))
 
 
-def feature_summary(features: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Per feature: observed, missing (null or not finite), min, max, mean, sample deviation. One pass over wide rows."""
-    clean = features.select(*[F.when(is_finite(F.col(c)), F.col(c).cast("double")).alias(c) for c in names])
+def feature_summary(features: DataFrame, names: tuple[str, ...], keep_infinite: bool = False) -> DataFrame:
+    """Per feature: observed, missing, share missing, min, max, mean, sample deviation. One pass over wide rows.
+
+    Null and NaN are missing; infinities are too, unless they are kept: then they count as the numbers they are, and the
+    deviation of a feature that holds one is NaN.
+    """
+    held = (lambda c: c.isNotNull() & ~F.isnan(c)) if keep_infinite else is_finite
+    clean = features.select(*[F.when(held(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names])
     one = clean.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{c}__{n}") for c in names for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg), ("sd", F.stddev_samp))])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").alias("n_observed"), (F.col("rows") - F.col(f"{c}__n")).alias("n_missing"), F.col(f"{c}__lo").alias("min"), F.col(f"{c}__hi").alias("max"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("std")) for c in names])
+    missing = lambda c: F.col("rows") - F.col(f"{c}__n")
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").alias("n_observed"), missing(c).alias("n_missing"), F.when(F.col("rows") > 0, missing(c) / F.col("rows")).alias("missing_share"), F.col(f"{c}__lo").alias("min"), F.col(f"{c}__hi").alias("max"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("std")) for c in names])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def feature_report(features: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """One row: rows, complete rows, rows with a full lookback, first and last id and time, labels by horizon."""
+    counts = [F.sum((F.col(f"y_{h}") == v).cast("long")).alias(f"y_{h}_{n}") for h in horizons for v, n in zip(LABELS, ("down", "unchanged", "up"), strict=True)]
+    return features.agg(F.count(F.lit(1)).alias("rows_total"), *[F.sum(F.col(c).cast("long")).alias(f"{c}_rows") for c in ("feature_complete", "has_full_lookback")], F.min("event_id").alias("first_event_id"), F.max("event_id").alias("last_event_id"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), *counts)

@@ -123,18 +123,48 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CELLS])
 
 
+def evaluation_tables(wide: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """All tables that describe predictions, from their confusion counts alone."""
+    return {
+        "aggregate": aggregate_metrics(wide).drop(*CELLS), "class_proportions": class_proportions(wide, keys), "per_class": per_class(wide, keys), "confusion_counts": confusion_rows(wide, keys),
+        "confusion_true_normalized": confusion_rows(wide, keys, "true"), "nonzero_subset": nonzero_metrics(wide).drop(*CELLS),
+    }
+
+
+def stacked(tables: dict[str, DataFrame], keys: list[str], labels: tuple[str, ...] = ("label", "true_label", "pred_label")) -> DataFrame:
+    """The tables under each other: table, keys, label columns (null where a table has none), metric, value."""
+    out = []
+    for name, t in tables.items():
+        values = [c for c in t.columns if c not in keys and c not in labels]
+        rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values])
+        marks = [(F.col(c) if c in t.columns else F.lit(None)).cast("int").alias(c) for c in labels]
+        out.append(t.select(F.lit(name).alias("table"), *keys, *marks, F.explode(rows).alias("r")).select("table", *keys, *labels, "r.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def majority_class(counts: list[Column]) -> Column:
     """The label of the greatest count; the first of -1, 0, 1 on ties."""
     top = F.greatest(*counts)
     return F.when(counts[0] == top, -1).when(counts[1] == top, 0).otherwise(1)
 
 
-def reconcile(wide: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics rebuilt from tidy cells against those from counts: the greatest difference (0 but for rounding)."""
-    cells = confusion_rows(wide, keys)
+def majority_by_horizon(train: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """horizon, majority: the most frequent label of the rows; one pass, a row for each horizon."""
+    counts = [F.sum((F.col(f"y_{h}") == v).cast("long")).alias(f"c{h}_{i}") for h in horizons for i, v in enumerate(LABELS)]
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), majority_class([F.col(f"c{h}_{i}") for i in range(3)]).alias("majority")) for h in horizons])
+    return train.agg(*counts).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def reconcile(wide: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """Metrics rebuilt another way, from tidy rows of cells and classes, against those from counts."""
+    cells, classes = confusion_rows(wide, keys), per_class(wide, keys)
     hit = F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("value")).otherwise(0))
-    again = cells.groupBy(*keys).agg(F.sum("value").alias("n"), (hit / F.sum("value")).alias("again"))
-    return aggregate_metrics(wide).join(again, keys).select(*keys, F.col("n").alias("n_obs"), (F.abs(F.col("again") - F.col("accuracy")) <= 1e-12).alias("accuracy_ok"), (F.col("n") == F.col("n_obs")).alias("count_ok"))
+    one = cells.groupBy(*keys).agg(F.sum("value").alias("n"), (hit / F.sum("value")).alias("accuracy_again"))
+    two = classes.groupBy(*keys).agg(F.avg("f1").alias("f1_again"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_again"))
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= tolerance, F.col(a).isNull() & F.col(b).isNull())
+    return aggregate_metrics(wide).join(one, keys).join(two, keys).select(
+        *keys, F.col("n").alias("n_obs"), near("accuracy_again", "accuracy").alias("accuracy_ok"), near("f1_again", "macro_f1").alias("macro_f1_ok"), near("balanced_again", "balanced_accuracy").alias("balanced_accuracy_ok"), (F.col("n") == F.col("n_obs")).alias("count_ok")
+    )
 
 
 def recombine(parts: DataFrame, keys: list[str], slices: str) -> DataFrame:

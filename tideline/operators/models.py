@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import argmax_label
+from tideline.operators.validate import check_numeric
 from tideline.plans.spec import LABELS
+from tideline.sources.sinks import exists, file_sha256, read_text, write_text
+
+
+@dataclass(frozen=True)
+class FitConfig:
+    """How a model is fitted: inverse penalty, iterations, tolerance, features kept in the order given."""
+
+    c: float = 1.0
+    max_iter: int = 200
+    tol: float = 1e-6
+    parity: float = 1e-12
+
+    def __post_init__(self) -> None:
+        if not (self.c > 0 and self.max_iter > 0 and self.tol > 0 and self.parity > 0):
+            raise ValueError(f"all settings of a fit must be positive: {self}")
 
 
 @dataclass(frozen=True)
@@ -27,11 +44,19 @@ class FrozenModel:
     intercepts: tuple[float, ...]
     converged: bool = True
     spec_fingerprint: str = ""
+    dataset_sha256: str = ""
+    source_sha256: str = ""
+    iterations: int = 0
+    classes: tuple[int, ...] = LABELS
 
     def __post_init__(self) -> None:
         k = len(self.features)
-        if not k or len(set(self.features)) != k or len(self.mean) != k or len(self.scale) != k or any(len(r) != k for r in self.coefficients) or len(self.coefficients) != len(LABELS) or len(self.intercepts) != len(LABELS):
+        if not self.name.strip() or self.horizon <= 0:
+            raise ValueError("a model needs a name and a positive horizon")
+        if not k or len(set(self.features)) != k or len(self.mean) != k or len(self.scale) != k or any(len(r) != k for r in self.coefficients) or len(self.coefficients) != len(self.classes) or len(self.intercepts) != len(self.classes):
             raise ValueError("the model's parts do not fit together")
+        if not all(math.isfinite(x) for x in (*self.mean, *self.scale, *self.intercepts, *(x for r in self.coefficients for x in r))):
+            raise ValueError("parameters must be finite")
         if any(s <= 0 for s in self.scale):
             raise ValueError("scales must be positive")
 
@@ -56,13 +81,45 @@ class FrozenModel:
             raise ValueError("the model's content does not match its hash")
         return model
 
-    def require(self, *, name: str, horizon: int, features: tuple[str, ...], spec_fingerprint: str = "") -> None:
-        """The guard before scoring: same name, horizon, features in order, fingerprint, and converged."""
-        wrong = [k for k, v in (("name", name), ("horizon", horizon), ("features", tuple(features)), ("spec_fingerprint", spec_fingerprint)) if getattr(self, k) != v]
+    def require(self, *, name: str, horizon: int, features: tuple[str, ...], spec_fingerprint: str = "", dataset_sha256: str | None = None, source_sha256: str | None = None) -> None:
+        """The guard before scoring: same name, horizon, features in order, classes in order, fingerprints, and converged."""
+        wanted = {"name": name, "horizon": horizon, "features": tuple(features), "classes": LABELS, "spec_fingerprint": spec_fingerprint, "dataset_sha256": dataset_sha256, "source_sha256": source_sha256}
+        wrong = [k for k, v in wanted.items() if v is not None and getattr(self, k) != v]
         if wrong or not self.converged:
             raise ValueError(f"the model does not fit: {wrong or 'not converged'}")
 
 
+def save_model(spark: SparkSession, model: FrozenModel, base: str, overwrite: bool = False) -> tuple[str, str]:
+    """``base.arrays.json`` with the numbers and ``base.json`` with the rest and the hash of the numbers, which is written last."""
+    arrays, rest = f"{base}.arrays.json", f"{base}.json"
+    if not overwrite and (exists(spark, arrays) or exists(spark, rest)):
+        raise FileExistsError(base)
+    doc = asdict(model)
+    numbers = {k: doc.pop(k) for k in ("classes", "coefficients", "intercepts", "mean", "scale")}
+    write_text(spark, json.dumps(numbers, sort_keys=True), arrays)
+    write_text(spark, json.dumps({"model": doc, "arrays_sha256": file_sha256(spark, arrays), "sha256": model.sha256()}, indent=2, sort_keys=True), rest)
+    return arrays, rest
+
+
+def load_model(spark: SparkSession, base: str) -> FrozenModel:
+    """Numbers that do not have the hash that was noted, and models whose content does not have theirs, are refused."""
+    for path in (arrays := f"{base}.arrays.json", rest := f"{base}.json"):
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+    doc = json.loads(read_text(spark, rest))
+    if file_sha256(spark, arrays) != doc.get("arrays_sha256"):
+        raise ValueError(f"{arrays} does not have the noted hash")
+    return FrozenModel.from_json(json.dumps({"model": {**doc["model"], **json.loads(read_text(spark, arrays))}, "sha256": doc["sha256"]}))
+
+
+def load_models(spark: SparkSession, bases: dict[int, str], **required) -> dict[int, FrozenModel]:
+    """horizon -> its model, each of which must meet the guard."""
+    out = {h: load_model(spark, base) for h, base in bases.items()}
+    for h, m in out.items():
+        m.require(horizon=h, **required)
+    return out
+
+
 def softmax_columns(data: DataFrame, logits: list[str], names: list[str], decimals: int | None = None) -> DataFrame:
     """Replace columns of logits by probabilities, in named steps that keep generated code small."""
     top = data.withColumn("__top", F.greatest(*logits))
@@ -86,30 +143,45 @@ def scaler_stats(train: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def fit(train: DataFrame, features: tuple[str, ...], horizon: int, name: str = "full_logistic", c: float = 1.0, max_iter: int = 200, tol: float = 1e-6, spec_fingerprint: str = "") -> FrozenModel:
-    """L2 multinomial logistic regression on features scaled by training statistics; needs all three classes.
+def standardised(data: DataFrame, features: tuple[str, ...], stats: dict[str, tuple[float, float]], keep: list[str] | None = None) -> DataFrame:
+    """Features less their mean, over their scale, in double; ``keep`` columns stay."""
+    return data.select(*(keep or []), *[((F.col(f).cast("double") - F.lit(stats[f][0])) / F.lit(stats[f][1])).alias(f) for f in features])
+
 
-    The penalty is 1 / (c * rows), intercepts are free and the fit fails if it stops at ``max_iter``.
+def fit(train: DataFrame, features: tuple[str, ...], horizon: int, name: str = "full_logistic", config: FitConfig | None = None, spec_fingerprint: str = "", dataset_sha256: str = "", source_sha256: str = "") -> FrozenModel:
+    """L2 multinomial logistic regression on features scaled by training statistics; needs all three classes and finite features.
+
+    The penalty is 1 / (c * rows) and intercepts are free. The fit fails if it stops at ``max_iter``, or if the frozen
+    model's probabilities differ from the fitted one's by more than ``parity`` on any training row.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    label = f"y_{horizon}"
-    stats = {r.feature: r for r in scaler_stats(train, features).collect()}
+    config, label = config or FitConfig(), f"y_{horizon}"
+    check_numeric(train, tuple(features), "training rows")
+    stats = {r.feature: (float(r["mean"]), float(r["scale"])) for r in scaler_stats(train, features).collect()}
     seen = {r[0] for r in train.select(label).distinct().collect()}
     if seen != set(LABELS):
-        raise ValueError(f"training rows hold the classes {sorted(seen)}, not all three")
-    scaled = train.select((F.col(label) + 1).cast("double").alias("label"), *[((F.col(f).cast("double") - stats[f].mean) / stats[f].scale).alias(f) for f in features])
+        raise ValueError(f"training rows hold the classes {sorted(seen, key=str)}, not all three")
+    scaled = standardised(train.withColumn("label", (F.col(label) + 1).cast("double")), features, stats, ["label"])
     rows = VectorAssembler(inputCols=list(features), outputCol="vector").transform(scaled).select("label", "vector").persist()
     try:
         n = rows.count()
-        fitted = LogisticRegression(featuresCol="vector", family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(rows)
+        fitted = LogisticRegression(featuresCol="vector", family="multinomial", regParam=1 / (config.c * n), elasticNetParam=0.0, standardization=False, maxIter=config.max_iter, tol=config.tol).fit(rows)
+        if fitted.summary.totalIterations >= config.max_iter:
+            raise RuntimeError(f"no convergence in {config.max_iter} iterations")
+        w = fitted.coefficientMatrix.toArray()
+        model = FrozenModel(name, horizon, tuple(features), tuple(stats[f][0] for f in features), tuple(stats[f][1] for f in features), tuple(tuple(map(float, r)) for r in w), tuple(map(float, fitted.interceptVector.toArray())), True, spec_fingerprint, dataset_sha256, source_sha256, int(fitted.summary.totalIterations))
+        # the frozen model on scaled features, so that both see the same numbers
+        plain = FrozenModel(name, horizon, tuple(features), (0.0,) * len(features), (1.0,) * len(features), model.coefficients, model.intercepts)
+        both = score(fitted.transform(rows).select(vector_to_array("probability").alias("p"), vector_to_array("vector").alias("v")).select("p", *[F.col("v")[i].alias(f) for i, f in enumerate(features)]), plain)
+        worst = both.agg(F.max(F.greatest(*[F.abs(F.col("p")[i] - F.col(c)) for i, c in enumerate(("p_down", "p_unchanged", "p_up"))]))).first()[0]
+        if worst > config.parity:
+            raise ValueError(f"frozen and fitted probabilities differ by {worst:.3e}")
     finally:
         rows.unpersist()
-    if fitted.summary.totalIterations >= max_iter:
-        raise RuntimeError(f"no convergence in {max_iter} iterations")
-    w = fitted.coefficientMatrix.toArray()
-    return FrozenModel(name, horizon, tuple(features), tuple(float(stats[f].mean) for f in features), tuple(float(stats[f].scale) for f in features), tuple(tuple(map(float, r)) for r in w), tuple(map(float, fitted.interceptVector.toArray())), True, spec_fingerprint)
+    return model
 
 
 def coefficient_table(spark: SparkSession, models: list[FrozenModel]) -> DataFrame:
@@ -117,8 +189,25 @@ def coefficient_table(spark: SparkSession, models: list[FrozenModel]) -> DataFra
     return spark.createDataFrame(rows, "model string, horizon int, feature string, label int, coefficient double")
 
 
-def sign_stability(coefficients: DataFrame) -> DataFrame:
-    """Per model and feature: up minus down by horizon, whether its sign is the same in all, mean magnitude."""
+def coefficient_interpretation(coefficients: DataFrame) -> DataFrame:
+    """Per model, horizon and feature: the coefficients of the classes, up minus down, whether their signs differ, and moves against no move."""
     wide = coefficients.groupBy("model", "horizon", "feature").pivot("label", list(LABELS)).agg(F.first("coefficient"))
-    gap = wide.select("model", "horizon", "feature", (F.col("1") - F.col("-1")).alias("asymmetry"))
-    return gap.groupBy("model", "feature").agg(F.count(F.lit(1)).alias("n_horizons"), (F.bool_and(F.col("asymmetry") > 0) | F.bool_and(F.col("asymmetry") < 0)).alias("same_sign"), F.avg(F.abs("asymmetry")).alias("mean_abs_asymmetry"))
+    down, flat, up = F.col("-1"), F.col("0"), F.col("1")
+    return wide.select(
+        "model", "horizon", "feature", down.alias("coef_down"), flat.alias("coef_unchanged"), up.alias("coef_up"), (up - down).alias("up_minus_down"),
+        (F.signum(down) != F.signum(up)).alias("opposite_sign_down_up"), ((F.abs(down) + F.abs(up)) / (F.abs(flat) + 1e-12)).alias("move_vs_unchanged"),
+    )
+
+
+def sign_stability(coefficients: DataFrame) -> DataFrame:
+    """Per model and feature: signs of each class over the horizons in order, whether up and down differ in all, mean size of up minus down."""
+    rows = coefficient_interpretation(coefficients)
+    names = {"down": "coef_down", "unchanged": "coef_unchanged", "up": "coef_up"}
+    signs = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("horizon", F.signum(c).cast("int").alias("s")))), lambda x: x["s"].cast("string")), ",")
+    return rows.groupBy("model", "feature").agg(F.count(F.lit(1)).alias("n_horizons"), *[signs(c).alias(f"{n}_signs") for n, c in names.items()], F.bool_and("opposite_sign_down_up").alias("opposite_in_all"), F.avg(F.abs("up_minus_down")).alias("mean_abs_up_minus_down"))
+
+
+def top_asymmetry(stability: DataFrame) -> DataFrame:
+    """The feature of each model with the greatest mean difference between up and down; the first by name on ties."""
+    place = F.row_number().over(Window.partitionBy("model").orderBy(F.col("mean_abs_up_minus_down").desc(), "feature"))
+    return stability.withColumn("place", place).where("place = 1").select("model", "feature", "mean_abs_up_minus_down")

@@ -7,6 +7,8 @@ over dense ids run as one window partitioned by bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,19 @@ def time_bucket(us: str, width: int = DAY_US) -> Column:
     return F.floor(F.col(us) / F.lit(width)).cast("long")
 
 
+#: Rows that a time bucket should hold.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_width(df: DataFrame, us: str = "us", rows: int = BUCKET_ROWS, least: int = 1) -> int:
+    """Microseconds of a time bucket that holds about ``rows`` rows if they are spread evenly, ``least`` or more; one aggregate.
+
+    So the number of tasks follows the number of rows, not that of days.
+    """
+    r = df.agg(F.count(us).alias("n"), (F.max(us) - F.min(us) + 1).alias("span")).first()
+    return max(least, math.ceil(r.span / max(1, math.ceil(r.n / rows)))) if r.n else max(least, DAY_US)
+
+
 def previous_row(df: DataFrame, columns: list[str], order: list[str], width: int = DAY_US) -> DataFrame:
     """Add ``before``: a struct of ``columns`` of the row before in the order (null for the very first)."""
     row, key = F.struct(*columns), F.struct(*order)

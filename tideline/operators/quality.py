@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.scalar import DAY_US, all_finite, is_finite, utc_day
+from tideline.functions.scalar import DAY_US, all_finite, utc_day
 from tideline.operators.events import valid_quote
+from tideline.operators.ordering import bucket_width, previous_row
+from tideline.operators.validate import assert_unique
 from tideline.plans.spec import BOOK_STATE, Spec
 
 
-def _gap() -> Column:
-    return (F.col("us") - F.lag("us").over(Window.partitionBy("utc_day").orderBy("us"))) / 1e6
+def _with_gaps(rows: DataFrame) -> DataFrame:
+    """Add utc_day and gap: seconds since the row before of the same day, found in time buckets whose number follows the rows'."""
+    seen = previous_row(rows, ["us"], ["us"], bucket_width(rows)).withColumn("utc_day", utc_day("us"))
+    return seen.withColumn("gap", F.when(utc_day(F.col("before.us")) == F.col("utc_day"), (F.col("us") - F.col("before.us")) / 1e6)).drop("before")
 
 
 def _total(flag: Column) -> Column:
@@ -21,14 +25,18 @@ def _total(flag: Column) -> Column:
 
 
 def quotes_by_day(quotes: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each UTC day. A gap needs two rows of the day; a day of one row has none."""
-    finite = all_finite(*BOOK_STATE)
+    """A row for each UTC day. A gap needs two rows of the day; a day of one row has none.
+
+    Infinite values are compared as numbers are; a comparison with NaN or null holds for none of the counters, and both,
+    like infinities, make a quote invalid. (Spark itself takes NaN for the greatest number.)
+    """
+    numbers = ~F.isnan("bid_price") & ~F.isnan("ask_price")
     return (
-        quotes.withColumn("utc_day", utc_day("us")).withColumn("gap", _gap()).groupBy("utc_day")
+        _with_gaps(quotes).groupBy("utc_day")
         .agg(
             F.count(F.lit(1)).alias("quote_rows"), F.min("us").alias("quote_start"), F.max("us").alias("quote_end"), F.max("gap").alias("max_quote_gap"),
-            _total(finite & (F.col("bid_price") > F.col("ask_price"))).alias("crossed"), _total(finite & (F.col("bid_price") == F.col("ask_price"))).alias("locked"),
-            *[_total(is_finite(F.col(c)) & (F.col(c) <= 0)).alias(f"non_positive_{c}") for c in BOOK_STATE], _total(~valid_quote()).alias("invalid_quotes"),
+            _total(numbers & (F.col("bid_price") > F.col("ask_price"))).alias("crossed"), _total(numbers & (F.col("bid_price") == F.col("ask_price"))).alias("locked"),
+            *[_total(F.col(c) <= 0).alias(f"non_positive_{c}") for c in BOOK_STATE], _total(~valid_quote()).alias("invalid_quotes"),
         )
         .withColumn("locked_share", F.col("locked") / F.col("quote_rows"))
         .withColumn("quote_gap_violation", F.coalesce(F.col("max_quote_gap") > spec.max_gap_s, F.lit(False)))
@@ -39,10 +47,10 @@ def trades_by_day(trades: DataFrame, spec: Spec) -> DataFrame:
     finite = all_finite("price", "quantity")
     bad = ~finite | (F.col("price") <= 0) | (F.col("quantity") <= 0) | F.col("buyer_is_maker").isNull()
     return (
-        trades.withColumn("utc_day", utc_day("us")).withColumn("gap", _gap()).groupBy("utc_day")
+        _with_gaps(trades).groupBy("utc_day")
         .agg(
             F.count(F.lit(1)).alias("trade_rows"), F.min("us").alias("trade_start"), F.max("us").alias("trade_end"), F.max("gap").alias("max_trade_gap"),
-            _total(is_finite(F.col("price")) & (F.col("price") <= 0)).alias("non_positive_price"), _total(is_finite(F.col("quantity")) & (F.col("quantity") <= 0)).alias("non_positive_quantity"),
+            _total(F.col("price") <= 0).alias("non_positive_price"), _total(F.col("quantity") <= 0).alias("non_positive_quantity"),
             _total(F.col("buyer_is_maker").isNull()).alias("missing_maker"), _total(bad).alias("invalid_trades"),
         )
         .withColumn("trade_gap_violation", F.coalesce(F.col("max_trade_gap") > spec.max_gap_s, F.lit(False)))
@@ -61,6 +69,7 @@ def combine_reports(quotes: DataFrame, trades: DataFrame, spec: Spec, start: dat
     """
     if (start is None) != (end is None):
         raise ValueError("give both start and end, or neither")
+    quotes, trades = assert_unique(quotes, ["utc_day"], "quotes by day"), assert_unique(trades, ["utc_day"], "trades by day")
     both = quotes.join(trades, "utc_day", "full_outer")
     if start is not None:
         both = calendar(quotes.sparkSession, start, end).join(both, "utc_day", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.validate import boundary_scan as validate_scan
+from tideline.operators.validate import check_features
 from tideline.plans.spec import LABELS, SPLITS, Spec
 
 
@@ -20,16 +22,33 @@ def split_of(us: Column, start_us: int, end_us: int, spec: Spec) -> Column:
     return F.when(us < start_us, None).when(us < a, SPLITS[0]).when(us < b, SPLITS[1]).when(us < end_us, SPLITS[2])
 
 
-def assign_splits(features: DataFrame, start_us: int, end_us: int, spec: Spec) -> DataFrame:
+def window_violations(features: DataFrame, start_us: int, end_us: int, spec: Spec) -> DataFrame:
+    """One row: rows outside the window, splits that are missing or shorter than the embargo."""
+    marked = features.select(split_of(F.col("us"), start_us, end_us, spec).alias("split"))
+    n = {s: F.sum((F.col("split") == s).cast("long")) for s in SPLITS}
+    short = [F.coalesce(n[s], F.lit(0)) < spec.embargo for s in SPLITS[:2]]
+    return marked.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col("split").isNull().cast("long")), F.lit(0)).alias("outside"), sum((x.cast("long") for x in short[1:]), short[0].cast("long")).alias("short_splits"), *[F.coalesce(n[s], F.lit(0)).alias(f"{s}_rows") for s in SPLITS])
+
+
+def assign_splits(features: DataFrame, start_us: int, end_us: int, spec: Spec, check: bool = True) -> DataFrame:
     """Add split, is_boundary_drop (last ``embargo`` rows of train and validation), model_eligible.
 
-    Dense ids make the last rows a comparison with one maximum a split; three rows are joined, no window is needed.
+    Rows outside the window, and a train or validation split that is missing or shorter than the embargo, are errors. Ids
+    are dense, so the last rows of a split are a comparison with its greatest id: one aggregate, three rows, no window.
     """
+    if check:
+        check_features(features, spec.horizons)
     marked = features.withColumn("split", split_of(F.col("us"), start_us, end_us, spec))
-    last = marked.groupBy("split").agg(F.max("event_id").alias("last_id"))  # at most four rows
-    drop = F.col("split").isin(*SPLITS[:2]) & (F.col("event_id") > F.col("last_id") - spec.embargo)
-    joined = marked.join(F.broadcast(last), "split").withColumn("is_boundary_drop", F.coalesce(drop, F.lit(False))).drop("last_id")
-    return joined.withColumn("model_eligible", F.col("feature_complete") & ~F.col("is_boundary_drop"))
+    found = {r.split: r for r in marked.groupBy("split").agg(F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("n")).collect()}  # at most four rows
+    if None in found:
+        raise ValueError(f"{found[None].n} rows lie outside the window")
+    for s in SPLITS[:2]:
+        if s not in found or found[s].n < spec.embargo:
+            raise ValueError(f"split {s} has {found[s].n if s in found else 0} rows, fewer than the embargo of {spec.embargo}")
+    drop = F.lit(False)
+    for s in SPLITS[:2]:
+        drop = drop | ((F.col("split") == s) & (F.col("event_id") > found[s].last_id - spec.embargo))
+    return marked.withColumn("is_boundary_drop", drop).withColumn("model_eligible", F.col("feature_complete") & ~F.col("is_boundary_drop"))
 
 
 def split_order(split: str = "split") -> Column:
@@ -43,6 +62,11 @@ def split_summary(data: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return data.groupBy("split").agg(F.count(F.lit(1)).alias("rows_total"), *flags, F.min("us").alias("start_us"), F.max("us").alias("end_us"), *labels)
 
 
+def row_counts(data: DataFrame) -> DataFrame:
+    """split, n_rows, n_eligible."""
+    return data.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("model_eligible").cast("long")).alias("n_eligible"))
+
+
 def target_diagnostics(data: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Per split and horizon, eligible rows: counts, shares, non-zero share, majority (the first of -1, 0, 1 on ties)."""
     counts = [F.sum((F.col(f"y_{h}") == v).cast("long")).alias(f"c_{h}_{i}") for h in horizons for i, v in enumerate(LABELS)]
@@ -77,3 +101,23 @@ def ids_in_order(data: DataFrame) -> DataFrame:
     spans = data.groupBy("split").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
     w = Window.orderBy(split_order())  # three rows
     return spans.withColumn("ok", F.coalesce(F.col("a") == F.lag("b").over(w) + 1, F.col("a") == 0)).agg(F.bool_and("ok").alias("contiguous"))
+
+
+def invariants(data: DataFrame, spec: Spec) -> DataFrame:
+    """One row of flags and counts that hold for every table of splits: what the audits by split say, put together."""
+    whole = boundary_audit(data, spec)
+    spans = validate_scan(data)
+    flags = whole.agg(
+        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_splits"), F.bool_and("eligibility_ok").alias("eligibility_identity"), (~F.bool_or("any_dropped_eligible")).alias("no_dropped_eligible"),
+        F.bool_and("embargo_ok").alias("embargo_kept"), F.bool_and(F.when(F.col("split") == SPLITS[2], F.col("n_dropped") == 0).otherwise(F.col("n_dropped") == spec.embargo)).alias("drops_as_expected"), F.bool_and("ids_contiguous").alias("ids_contiguous"),
+    )
+    return flags.crossJoin(spans.agg(F.bool_and("follows").alias("splits_follow")))  # one row each
+
+
+def dataset_manifest(data: DataFrame, spec: Spec, start_us: int, end_us: int) -> dict:
+    """Rows, times and labels of each split with the rules that made them, for a side file; three rows come to the driver."""
+    rows = {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in split_summary(data, spec.horizons).collect()}
+    train_end, validation_end = boundaries(start_us, end_us, spec)
+    rules = {"train_share": spec.train_share, "validation_share": spec.validation_share, "embargo": spec.embargo, "eligible": "feature_complete and not is_boundary_drop"}
+    bounds = {"start_us": start_us, "train_end_us": train_end, "validation_end_us": validation_end, "end_us": end_us}
+    return {"spec_fingerprint": spec.fingerprint(), "rules": rules, "boundaries": bounds, "features": list(spec.features), "rows_total": sum(r["rows_total"] for r in rows.values()), "splits": {s: rows[s] for s in SPLITS if s in rows}}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import DAY_US, maker_sign
+from tideline.operators.ordering import bucket_width
 
 
 def open_interval_sums(events: DataFrame, trades: DataFrame, lookback_us: int, values: dict[str, str], key: str = "event_id", us: str = "us", bucket_us: int = DAY_US) -> DataFrame:
@@ -26,8 +27,12 @@ def open_interval_sums(events: DataFrame, trades: DataFrame, lookback_us: int, v
     return summed.where(F.col("id").isNotNull()).select(F.col("id").alias(key), F.col("us").alias(us), *[F.coalesce(n, F.lit(0)).alias(n) for n in values])
 
 
-def trade_flow(events: DataFrame, trades: DataFrame, lookback_us: int, bucket_us: int = DAY_US) -> DataFrame:
-    """event_id, us, trade_count, signed_count, volume, signed_volume over the open interval before each event."""
+def trade_flow(events: DataFrame, trades: DataFrame, lookback_us: int, bucket_us: int | None = None) -> DataFrame:
+    """event_id, us, trade_count, signed_count, volume, signed_volume over the open interval before each event.
+
+    The width of time buckets follows the number of events and trades, unless it is given.
+    """
+    bucket_us = bucket_us or bucket_width(events.select("us").unionAll(trades.select("us")), least=lookback_us)
     sign = maker_sign(F.col("buyer_is_maker"))
     t = trades.select("us", F.lit(1).cast("long").alias("one"), sign.cast("long").alias("sign"), F.col("quantity").cast("double").alias("quantity"), (sign * F.col("quantity").cast("double")).alias("signed_quantity"))
     return open_interval_sums(events, t, lookback_us, {"trade_count": "one", "signed_count": "sign", "volume": "quantity", "signed_volume": "signed_quantity"}, bucket_us=bucket_us)

@@ -17,63 +17,150 @@ def require_columns(df: DataFrame, columns, context: str) -> DataFrame:
     return df
 
 
-def require_none(df: DataFrame, violations: dict[str, Column], context: str) -> None:
-    """Raise if any violation occurs; one pass, one row to the driver."""
-    row = df.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(True)).cast("long")), F.lit(0)).alias(n) for n, c in violations.items()]).first().asDict()
+def counted(df: DataFrame, violations: dict[str, Column], rows: str | None = "n_rows") -> DataFrame:
+    """One row with the number of rows that violate each rule (null counts as a violation), from one pass."""
+    counts = [F.coalesce(F.sum(F.coalesce(c, F.lit(True)).cast("long")), F.lit(0)).alias(n) for n, c in violations.items()]
+    return df.agg(*([F.count(F.lit(1)).alias(rows)] if rows else []), *counts)
+
+
+def require_clean(violations: DataFrame, context: str, empty_ok: bool = False) -> None:
+    """Raise if a row of violation counters has any, or if there were no rows at all."""
+    row = violations.first().asDict()
+    n = row.pop("n_rows", None)
     bad = {k: v for k, v in row.items() if v}
-    if bad:
-        raise ValueError(f"{context}: {bad}")
+    if bad or (n == 0 and not empty_ok):
+        raise ValueError(f"{context}: {bad or 'no rows'}")
 
 
-def check_quote_order(quotes: DataFrame) -> None:
+def require_none(df: DataFrame, violations: dict[str, Column], context: str) -> None:
+    require_clean(counted(df, violations, None), context)
+
+
+def quote_violations(quotes: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     """Source order (raw_row_number): times never fall, ids never fall within a time, neither is null."""
-    require_columns(quotes, ["us", "update_id", "raw_row_number"], "quotes")
-    require_none(quotes, {"null_time": F.col("us").isNull(), "null_id": F.col("update_id").isNull()}, "quotes")
-    chunk = 1_000_000
+    require_columns(quotes, ["us", "update_id", "raw_row_number", *BOOK_STATE], "quotes")
     seen = previous_row(quotes.select("raw_row_number", "us", "update_id"), ["us", "update_id"], ["raw_row_number"], chunk)
     b = F.col("before")
-    falls = b.isNotNull() & ((F.col("us") < b["us"]) | ((F.col("us") == b["us"]) & (F.col("update_id") < b["update_id"])))
-    require_none(seen, {"disorder": falls}, "quotes")
+    back = b.isNotNull() & (F.col("us") < b["us"])
+    within = b.isNotNull() & (F.col("us") == b["us"]) & (F.col("update_id") < b["update_id"])
+    return counted(seen, {"null_time": F.col("us").isNull(), "null_id": F.col("update_id").isNull(), "time_falls": F.coalesce(back, F.lit(False)), "id_falls": F.coalesce(within, F.lit(False))})
+
+
+def check_quote_order(quotes: DataFrame) -> None:
+    require_clean(quote_violations(quotes), "quotes")
+
+
+def event_violations(events: DataFrame, zero_based: bool = True, chunk: int = 1_000_000) -> DataFrame:
+    """Ids one after the other (from 0 if asked), times never null and never fall, prices and sizes finite and positive, no crossed book."""
+    require_columns(events, ["event_id", "us", *BOOK_STATE], "events")
+    seen = previous_row(events.select("event_id", "us", *BOOK_STATE), ["event_id", "us"], ["event_id"], chunk)
+    b, first = F.col("before"), F.col("before").isNull()
+    rules = {
+        "null_time": F.col("us").isNull(), "id_gap": ~first & (F.col("event_id") != b["event_id"] + 1), "time_falls": ~first & F.coalesce(F.col("us") < b["us"], F.lit(False)),
+        **{f"bad_{c}": ~(is_finite(F.col(c)) & (F.col(c) > 0)) for c in BOOK_STATE}, "crossed": F.coalesce(F.col("ask_price") < F.col("bid_price"), F.lit(False)),
+    }
+    if zero_based:
+        rules["not_from_zero"] = first & (F.col("event_id") != 0)
+    return counted(seen, rules)
 
 
 def check_events(events: DataFrame, zero_based: bool = True) -> None:
-    ids = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("d")).first()
-    if ids.n and (ids.d != ids.n or ids.b - ids.a + 1 != ids.n or (zero_based and ids.a != 0)):
-        raise ValueError(f"events: ids are not contiguous: {ids}")
-    positive = all_finite(*BOOK_STATE) & (F.col("bid_price") > 0) & (F.col("bid_size") > 0) & (F.col("ask_size") > 0)
-    require_none(events, {"not_positive": ~positive, "crossed": F.col("ask_price") < F.col("bid_price")}, "events")
-    falls = previous_row(events.select("event_id", "us"), ["us"], ["event_id"], 1_000_000)
-    require_none(falls, {"time_falls": F.col("before").isNotNull() & (F.col("us") < F.col("before.us"))}, "events")
+    require_clean(event_violations(events, zero_based), "events")
+
+
+def trade_violations(trades: DataFrame) -> DataFrame:
+    require_columns(trades, ["us", "quantity", "buyer_is_maker"], "trades")
+    if trades.schema["buyer_is_maker"].dataType.typeName() != "boolean":
+        raise TypeError("trades: buyer_is_maker is not boolean")
+    return counted(trades, {"null_time": F.col("us").isNull(), "bad_quantity": ~(is_finite(F.col("quantity")) & (F.col("quantity") > 0)), "null_maker": F.col("buyer_is_maker").isNull()})
 
 
 def check_trades(trades: DataFrame) -> None:
-    require_none(trades, {"null_time": F.col("us").isNull(), "bad_quantity": ~(is_finite(F.col("quantity")) & (F.col("quantity") > 0)), "null_maker": F.col("buyer_is_maker").isNull()}, "trades")
+    require_clean(trade_violations(trades), "trades")
+
+
+def feature_violations(table: DataFrame, horizons: tuple[int, ...], chunk: int = 1_000_000) -> DataFrame:
+    """What a table must meet before it is split: ids 0 .. n-1, times in order, flags and labels without null or strange values."""
+    require_columns(table, ["event_id", "us", "feature_complete", *[f"y_{h}" for h in horizons]], "features")
+    seen = previous_row(table.select("event_id", "us", "feature_complete", *[f"y_{h}" for h in horizons]), ["event_id", "us"], ["event_id"], chunk)
+    b, first = F.col("before"), F.col("before").isNull()
+    return counted(seen, {
+        "id_gap": F.when(first, F.col("event_id") != 0).otherwise(F.col("event_id") != b["event_id"] + 1), "null_time": F.col("us").isNull(), "time_falls": ~first & F.coalesce(F.col("us") < b["us"], F.lit(False)),
+        "null_complete": F.col("feature_complete").isNull(), **{f"bad_y_{h}": ~F.col(f"y_{h}").isin(*LABELS) for h in horizons},
+    })
+
+
+def check_features(table: DataFrame, horizons: tuple[int, ...]) -> None:
+    require_clean(feature_violations(table, horizons), "features")
 
 
-def check_features(table: DataFrame, horizons: tuple[int, ...], floats: tuple[str, ...]) -> None:
-    ids = table.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.countDistinct("event_id").alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if ids.n and (ids.a != 0 or ids.b != ids.n - 1 or ids.d != ids.n):
-        raise ValueError("features: ids are not 0 .. n-1")
-    require_none(table, {**{f"y_{h}": ~F.col(f"y_{h}").isin(*LABELS) for h in horizons}, "complete": F.col("feature_complete") != (F.col("has_full_lookback") & all_finite(*floats))}, "features")
+def model_data_violations(data: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    require_columns(data, ["split", "feature_complete", "is_boundary_drop", "model_eligible", *[f"y_{h}" for h in horizons]], "model data")
+    return counted(data, {"bad_split": ~F.col("split").isin(*SPLITS), "bad_eligible": F.col("model_eligible") != (F.col("feature_complete") & ~F.col("is_boundary_drop")), **{f"bad_y_{h}": ~F.col(f"y_{h}").isin(*LABELS) for h in horizons}})
 
 
 def check_model_data(data: DataFrame, horizons: tuple[int, ...]) -> None:
-    require_none(data, {"split": ~F.col("split").isin(*SPLITS), "eligible": F.col("model_eligible") != (F.col("feature_complete") & ~F.col("is_boundary_drop")), **{f"y_{h}": ~F.col(f"y_{h}").isin(*LABELS) for h in horizons}}, "model data")
+    require_clean(model_data_violations(data, horizons), "model data")
+
+
+def split_violations(data: DataFrame, split: str) -> DataFrame:
+    """A loaded split: rows of another split, and eligibility that is null (or not boolean, which is an error at once)."""
+    require_columns(data, ["split", "model_eligible"], f"split {split}")
+    if data.schema["model_eligible"].dataType.typeName() != "boolean":
+        raise TypeError(f"split {split}: model_eligible is not boolean")
+    return counted(data, {"other_split": F.col("split") != split, "null_eligible": F.col("model_eligible").isNull()})
+
+
+def check_split(data: DataFrame, split: str) -> None:
+    require_clean(split_violations(data, split), f"split {split}")
+
+
+def prediction_violations(data: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    return counted(data, {"bad_true": ~F.col(y_true).isin(*LABELS), "bad_pred": ~F.col(y_pred).isin(*LABELS)})
 
 
 def check_predictions(data: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> None:
-    require_none(data, {"true": ~F.col(y_true).isin(*LABELS), "pred": ~F.col(y_pred).isin(*LABELS)}, "predictions")
+    require_clean(prediction_violations(data, y_true, y_pred), "predictions")
 
 
-def check_probabilities(data: DataFrame, tolerance: float = 1e-6) -> None:
+def probability_violations(data: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Probabilities that are not finite or outside 0 and 1, and rows that do not sum to 1."""
     p = [F.col(c) for c in ("p_down", "p_unchanged", "p_up")]
     outside = ~(all_finite("p_down", "p_unchanged", "p_up") & (F.least(*p) >= 0) & (F.greatest(*p) <= 1))
-    require_none(data, {"outside": outside, "sum": F.abs(p[0] + p[1] + p[2] - 1) > tolerance}, "probabilities")
+    return counted(data, {"outside": outside, "wrong_sum": ~(F.abs(p[0] + p[1] + p[2] - 1) <= tolerance)})
+
+
+def check_probabilities(data: DataFrame, tolerance: float = 1e-6) -> None:
+    require_clean(probability_violations(data, tolerance), "probabilities")
+
+
+NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def column_violations(data: DataFrame, columns: tuple[str, ...], context: str = "columns") -> DataFrame:
+    """Values of numeric columns that are null or not finite; no columns, repeated, missing and other ones are errors at once."""
+    if not columns or len(set(columns)) != len(columns):
+        raise ValueError(f"{context}: columns must be given and unique")
+    require_columns(data, columns, context)
+    if strange := [c for c in columns if data.schema[c].dataType.typeName() not in NUMERIC]:
+        raise TypeError(f"{context}: not numeric: {strange}")
+    return counted(data, {f"bad_{c}": ~is_finite(F.col(c)) for c in columns})
 
 
-def check_unique(df: DataFrame, keys: list[str]) -> None:
+def check_numeric(data: DataFrame, columns: tuple[str, ...], context: str = "columns") -> None:
+    require_clean(column_violations(data, columns, context), context)
+
+
+def check_unique(df: DataFrame, keys: list[str], context: str = "table") -> None:
     if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ValueError(f"rows are not unique by {keys}")
+        raise ValueError(f"{context}: rows are not unique by {keys}")
+
+
+def assert_unique(df: DataFrame, keys: list[str], context: str = "table") -> DataFrame:
+    """The same rows; when they are read, a key that occurs twice is an error."""
+    several = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    fine = F.when(F.col("__several"), F.raise_error(F.lit(f"{context}: rows are not unique by {keys}")).cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("__several", several).where(fine).drop("__several")
 
 
 def boundary_scan(data: DataFrame) -> DataFrame:

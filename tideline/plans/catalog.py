@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import utc_day
-from tideline.operators import audit, compare, events, features, metrics, models, probability, quality, regimes, splits, timerange, validate
+from tideline.operators import audit, compare, events, features, figures, metrics, models, probability, quality, regimes, splits, timerange, validate
 from tideline.plans import fixtures as fx
 from tideline.plans.spec import FEATURES
 from tideline.session import table
+from tideline.sources import datasets
 
 KEYS = ["model", "horizon", "split"]
 H = fx.SPEC.horizons
@@ -37,7 +38,7 @@ def quality_quotes_daily(spark, d):
 
 @query
 def quality_trades_daily(spark, d):
-    return quality.trades_by_day(fx.trades(spark, d), fx.SPEC)
+    return quality.trades_by_day(fx.raw_trades(spark, d), fx.SPEC)
 
 
 @query
@@ -105,7 +106,7 @@ def feature_completeness(spark, d):
 def feature_summary(spark, d):
     s = features.feature_summary(fx.features(spark, d), FEATURES)
     big = F.when(F.col("feature").isin("relative_spread", "mid_return_5", "realized_vol_20"), 1e6).otherwise(1.0)
-    return s.select("feature", "n_observed", "n_missing", *[F.round(F.col(c) * big, 6).alias(c) for c in ("min", "max", "mean", "std")])
+    return s.select("feature", "n_observed", "n_missing", "missing_share", *[F.round(F.col(c) * big, 6).alias(c) for c in ("min", "max", "mean", "std")])
 
 
 @query
@@ -140,7 +141,7 @@ def split_boundary_audit(spark, d):
 
 @query
 def split_invariants(spark, d):
-    return splits.ids_in_order(fx.model_data(spark, d))
+    return splits.invariants(fx.model_data(spark, d), fx.SPEC)
 
 
 @query
@@ -249,7 +250,7 @@ def threshold_grid(spark, d):
 def best_thresholds(spark, d):
     g = probability.threshold_grid(_validation(spark, d), ["horizon"])
     both = probability.best_thresholds(g, ["horizon"], "macro_f1").unionByName(probability.best_thresholds(g, ["horizon"], "balanced_accuracy"))
-    return both.select("horizon", "selection_metric", "threshold_down", "threshold_up", "macro_f1", "balanced_accuracy", "accuracy")
+    return both.select("horizon", "selection_metric", "threshold_down", "threshold_up", "macro_f1", "balanced_accuracy", "accuracy", *[f"{kind}_{n}_share" for kind in ("true", "pred") for n in ("down", "unchanged", "up")])
 
 
 @query
@@ -317,23 +318,48 @@ def confusion_recall(spark, d):
     return compare.confusion_recall(rows)
 
 
+def _coefficients(spark):
+    return models.coefficient_table(spark, [m for by in fx.frozen_models().values() for m in by.values()])
+
+
+@query
+def coefficient_interpretation(spark, d):
+    return rounded(models.coefficient_interpretation(_coefficients(spark)), 6)
+
+
 @query
 def coefficient_sign_stability(spark, d):
-    return models.sign_stability(models.coefficient_table(spark, [m for by in fx.frozen_models().values() for m in by.values()]))
+    return models.sign_stability(_coefficients(spark))
 
 
-def _audit_sample(spark, d):
-    return audit.sample_ids(fx.eligible(spark, d), 10**9)  # all eligible rows: the audit is whole here
+@query
+def top_asymmetry(spark, d):
+    return models.top_asymmetry(models.sign_stability(_coefficients(spark)))
 
 
 @query
 def label_alignment_audit(spark, d):
-    return audit.label_alignment(fx.features(spark, d), fx.events(spark, d), 20)
+    return audit.label_alignment(fx.features(spark, d), fx.events(spark, d), H)
+
+
+def _history(spark, d):
+    return audit.history_features(fx.eligible(spark, d), fx.events(spark, d))
 
 
 @query
 def history_audit(spark, d):
-    return audit.history_features(fx.eligible(spark, d), fx.events(spark, d))
+    return _history(spark, d).select("event_id", "return_ok", "vol_ok")
+
+
+@query
+def precision_verdict(spark, d):
+    return audit.precision_verdict(_history(spark, d)).select("n_rows", "return_match", "vol_match", "status", "severity")
+
+
+@query
+def critical_checks(spark, d):
+    labels, timing = label_alignment_audit(spark, d), trade_timing_audit(spark, d)
+    return audit.critical_checks(labels, split_invariants(spark, d), timing, audit.precision_verdict(_history(spark, d)), boundary_scan(spark, d))
 
 
 @query
@@ -350,20 +376,176 @@ def spread_relative_summary(spark, d):
     return rounded(audit.spread_relative(test, H), 7)
 
 
+def _compact(spark, d):
+    return fx.compact(fx.eligible(spark, d).where("split = 'test'"))
+
+
 @query
 def compact_predictions(spark, d):
-    p = fx.scored(spark, d).where("split = 'test'")
-    t = F.when(F.col("horizon") == 10, fx.THRESHOLDS[10][0]).when(F.col("horizon") == 20, fx.THRESHOLDS[20][0]).otherwise(fx.THRESHOLDS[50][0])
-    from tideline.functions.scalar import threshold_label
+    return _compact(spark, d)
+
+
+@query
+def compact_parity(spark, d):
+    """Confusion counts of the compact rows against those of the predictions, by horizon and model."""
+    rows = [F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model"), F.col(f"y_true_h{h}").alias("y_true"), F.col(f"{c}_h{h}").alias("y_pred")) for h in H for m, c in (("full_logistic", "y_pred_argmax"), ("full_thresholded", "y_pred_thresholded"))]
+    again = metrics.confusion(_compact(spark, d).select(F.explode(F.array(*rows)).alias("r")).select("r.*"), ["horizon", "model"]).alias("a")
+    first = fx.prediction_confusion(spark, d).where("split = 'test'").alias("b")
+    same = F.lit(True)
+    for c in metrics.CELLS:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return again.join(first, ["horizon", "model"]).select("horizon", "model", sum((F.col(f"a.{c}") for c in metrics.CELLS[1:]), F.col(f"a.{metrics.CELLS[0]}")).alias("n_obs"), same.alias("equal"))
+
+
+def _when(n: int, r: int, value, column: str):
+    """The column, but for the ids with a remainder."""
+    return F.when(F.col("event_id") % n == r, value).otherwise(F.col(column)).alias(column)
+
+
+@query
+def quote_violations(spark, d):
+    return validate.quote_violations(fx.quotes(spark, d))
+
+
+@query
+def event_violations(spark, d):
+    """On events with holes and strange values."""
+    e, nan = fx.events(spark, d).where("event_id % 900 != 5"), F.lit(float("nan"))
+    us = F.when(F.col("event_id") % 300 == 7, F.lit(None)).when(F.col("event_id") % 300 == 9, F.col("us") - 100_000_000_000).otherwise(F.col("us")).alias("us")
+    bid = F.when(F.col("event_id") % 500 == 3, -F.col("bid_price")).when(F.col("event_id") % 500 == 4, nan).otherwise(F.col("bid_price")).alias("bid_price")
+    return validate.event_violations(e.select("event_id", us, bid, _when(500, 5, F.lit(1.0), "ask_price"), _when(500, 6, F.lit(None), "bid_size"), _when(500, 8, F.lit(float("inf")), "ask_size")))
+
+
+@query
+def trade_violations(spark, d):
+    return validate.trade_violations(fx.raw_trades(spark, d))
+
+
+@query
+def feature_violations(spark, d):
+    f = fx.features(spark, d).where("event_id % 900 != 5")
+    return validate.feature_violations(f.select("event_id", _when(300, 9, F.col("us") - 100_000_000_000, "us"), _when(700, 11, F.lit(None), "feature_complete"), _when(800, 1, F.lit(2), "y_10"), _when(800, 2, F.lit(None), "y_20"), "y_50"), H)
+
+
+@query
+def model_data_violations(spark, d):
+    m = fx.model_data(spark, d)
+    return validate.model_data_violations(m.select(_when(400, 1, F.lit("other"), "split"), "feature_complete", "is_boundary_drop", _when(400, 2, ~F.col("model_eligible"), "model_eligible"), *[f"y_{h}" for h in H]), H)
+
+
+@query
+def split_violations(spark, d):
+    return validate.split_violations(fx.model_data(spark, d).where("split != 'test'").select("split", _when(100, 3, F.lit(None), "model_eligible")), "train")
+
+
+@query
+def prediction_violations(spark, d):
+    p = fx.predictions(spark, d)
+    return validate.prediction_violations(p.select("y_true", F.when(F.col("event_id") % 1000 == 1, 2).when(F.col("event_id") % 1000 == 2, F.lit(None)).otherwise(F.col("y_pred")).alias("y_pred")))
+
+
+@query
+def probability_violations(spark, d):
+    up = F.when(F.col("event_id") % 777 == 2, F.col("p_up") + 0.5).when(F.col("event_id") % 777 == 3, 1.5).when(F.col("event_id") % 777 == 4, F.lit(None)).otherwise(F.col("p_up")).alias("p_up")
+    return validate.probability_violations(fx.scored(spark, d).select(_when(777, 1, F.lit(float("nan")), "p_down"), "p_unchanged", up))
 
-    q = p.withColumn("thresholded", threshold_label(F.col("p_down"), F.col("p_up"), t, t))
-    wide = q.groupBy("event_id", "us", "trade_intensity").pivot("horizon", list(H)).agg(*[F.first(c).alias(c) for c in ("y_true", "argmax", "thresholded", "p_down", "p_unchanged", "p_up")])
-    return wide
+
+@query
+def column_violations(spark, d):
+    return validate.column_violations(fx.quotes(spark, d), ("bid_price", "ask_price", "bid_size", "ask_size"))
+
+
+@query
+def window_violations(spark, d):
+    """A window that leaves rows outside."""
+    return splits.window_violations(fx.features(spark, d), fx.START_US + 3 * 86_400_000_000, fx.START_US + 9 * 86_400_000_000, fx.SPEC)
+
+
+@query
+def feature_report(spark, d):
+    return features.feature_report(fx.features(spark, d), H)
+
+
+@query
+def plain_summary(spark, d):
+    """The summary that keeps infinities, of columns that hold some (whose deviation is no number)."""
+    return features.feature_summary(fx.quotes(spark, d), ("bid_price", "ask_price", "bid_size", "ask_size"), keep_infinite=True).drop("mean", "std")
+
+
+@query
+def metric_bundle(spark, d):
+    return metrics.stacked(metrics.evaluation_tables(fx.prediction_confusion(spark, d), KEYS), KEYS)
+
+
+@query
+def validation_bundle(spark, d):
+    """The tables of the bundle, each as its number of rows and one sum by horizon."""
+    sums = {"auc_average_precision": "roc_auc", "probability_by_true_class": "mean", "lift": "hits", "threshold_grid": "macro_f1", "best_thresholds": "accuracy"}
+    out = None
+    for name, t in probability.validation_bundle(_validation(spark, d), ["horizon"]).items():
+        value = F.col(sums[name]) if name in sums else F.col("n00") + F.col("n11") + F.col("n22")
+        part = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(value.cast("double")), 6).alias("total")).select(F.lit(name).alias("table"), "horizon", "n_rows", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def nonzero_comparison(spark, d):
+    return compare.nonzero_comparison(metrics.nonzero_metrics(fx.prediction_confusion(spark, d)))
+
+
+@query
+def split_row_counts(spark, d):
+    return splits.row_counts(fx.model_data(spark, d))
+
+
+@query
+def point_lookup(spark, d):
+    e = fx.events(spark, d)
+    return datasets.by_ids(e, e.where("event_id % 97 = 5").select("event_id")).select("event_id", "us", "midprice")
+
+
+@query
+def calendar_of_events(spark, d):
+    """The first rows of a table in order."""
+    return datasets.preview(fx.events(spark, d).groupBy(utc_day("us").alias("utc_day")).agg(F.count(F.lit(1)).alias("n")), ["utc_day"], 5)
+
+
+@query
+def figure_drift(spark, d):
+    return figures.drift(splits.target_diagnostics(fx.model_data(spark, d), H))
+
+
+@query
+def figure_horizon_performance(spark, d):
+    return figures.horizon_performance(_metrics(spark, d))
+
+
+@query
+def figure_recall(spark, d):
+    return figures.recall(metrics.per_class(fx.prediction_confusion(spark, d), KEYS))
+
+
+@query
+def figure_regimes(spark, d):
+    return figures.regimes(regime_metrics(spark, d))
+
+
+@query
+def figure_nonzero(spark, d):
+    return figures.nonzero(metrics.nonzero_metrics(fx.prediction_confusion(spark, d)))
+
+
+@query
+def benchmark_merge(spark, d):
+    """Mean times of runs beside the median of their engine."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("engine"), F.col("o_orderstatus").alias("run"), F.col("o_totalprice").alias("seconds"))
+    return rounded(compare.benchmark_merge(o), 4)
 
 
 @query
 def id_range_scan(spark, d):
-    return fx.events(spark, d).where(F.col("event_id").between(100, 399)).select("event_id", "us", "midprice")
+    return datasets.id_range(fx.events(spark, d), 100, 399).select("event_id", "us", "midprice")
 
 
 @query
@@ -394,10 +576,9 @@ def label_confusion(spark, d):
 
 
 def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Fit on training rows with MLlib, freeze, and list the coefficients."""
-    names = ("relative_spread", "queue_imbalance", "log_bid_size", "delta_bid_size", "delta_ask_size", "mid_return_5", "realized_vol_20", "trade_intensity")
-    model = models.fit(fx.eligible(spark, d).where("split = 'train'"), names, 20)
-    return models.coefficient_table(spark, [model])
+    """Fit all features for all horizons on training rows with MLlib, freeze, and list the coefficients."""
+    train = fx.eligible(spark, d).where("split = 'train'")
+    return models.coefficient_table(spark, [models.fit(train, FEATURES, h, spec_fingerprint=fx.SPEC.fingerprint()) for h in H])
 
 
 QUERIES["logistic_fit"] = logistic_fit

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.scalar import DAY_US, micros, threshold_label
+from tideline.functions.scalar import all_finite, argmax_label, micros, threshold_label, window_us
 from tideline.operators.events import build_events
 from tideline.operators.features import build_features
-from tideline.operators.metrics import confusion, majority_class
+from tideline.operators.metrics import confusion, majority_by_horizon
 from tideline.operators.models import FrozenModel, softmax_columns
 from tideline.operators.splits import assign_splits
 from tideline.plans.spec import FEATURES, LABELS, SPLITS, Spec
@@ -19,7 +19,7 @@ from tideline.sources.staging import staged
 
 SPEC = Spec(lookback_us=30 * 60 * 1_000_000, max_gap_s=900.0, max_edge_s=900.0)
 START, END = date(2024, 1, 1), date(2024, 1, 31)
-START_US, END_US = 19723 * DAY_US, 19753 * DAY_US
+START_US, END_US = window_us(START, END - timedelta(days=1))  # the last day of the calendar has no rows
 #: Frozen thresholds (down, up) of the demonstration models.
 THRESHOLDS = {10: (0.35, 0.35), 20: (0.375, 0.375), 50: (0.4, 0.4)}
 
@@ -28,20 +28,38 @@ def _cents(e: DataFrame) -> DataFrame:
     return e.select(micros("ts").alias("us"), "event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("c"))
 
 
+def _odd(c: Column, *cases: tuple[int, Column]) -> Column:
+    """``c``, but for the rows whose cents are divisible by a number: strange values that feeds have."""
+    out = c
+    for n, value in cases:
+        out = F.when(F.col("c") % n == 0, value).otherwise(out)
+    return out
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes with crossed, NaN, infinite and null ones among them."""
+    nan, inf, null = F.lit(float("nan")), F.lit(float("inf")), F.lit(None).cast("double")
     step = F.when(F.col("c") % 97 == 0, -1).otherwise(1 + F.col("user_id") % 2)
     return _cents(table(spark, sf_dir, "events")).select(
-        "us", F.col("event_id").alias("update_id"), ((6000000 + F.col("c") % 3).cast("double") / 100).alias("bid_price"), ((6000000 + F.col("c") % 3 + step).cast("double") / 100).alias("ask_price"),
-        (1 + F.col("c") % 2).cast("double").alias("bid_size"), (1 + F.col("user_id") % 2).cast("double").alias("ask_size"),
+        "us", F.col("event_id").alias("update_id"), _odd((6000000 + F.col("c") % 3).cast("double") / 100, (211, nan), (223, -inf)).alias("bid_price"), _odd((6000000 + F.col("c") % 3 + step).cast("double") / 100, (227, inf), (229, nan)).alias("ask_price"),
+        _odd((1 + F.col("c") % 2).cast("double"), (233, null), (239, F.lit(0.0))).alias("bid_size"), _odd((1 + F.col("user_id") % 2).cast("double"), (241, F.lit(-1.0)), (251, -inf)).alias("ask_size"),
+        F.col("event_id").alias("raw_row_number"),
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with strange values among them."""
+    maker = F.when(F.col("c") % 211 != 0, F.col("user_id") % 2 == 0)
     return _cents(table(spark, sf_dir, "events")).where(F.col("event_type").isin("purchase", "click")).select(
-        "us", F.col("event_id").alias("agg_trade_id"), ((6000000 + F.col("c") % 3).cast("double") / 100).alias("price"), F.col("c").cast("double").alias("quantity"), (F.col("user_id") % 2 == 0).alias("buyer_is_maker")
+        "us", F.col("event_id").alias("agg_trade_id"), _odd((6000000 + F.col("c") % 3).cast("double") / 100, (223, F.lit(float("inf"))), (227, F.lit(0.0))).alias("price"), _odd(F.col("c").cast("double"), (229, F.lit(float("-inf"))), (233, F.lit(float("nan")))).alias("quantity"), maker.alias("buyer_is_maker")
     )
 
 
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades that features are made of: the valid ones."""
+    return raw_trades(spark, sf_dir).where(all_finite("price", "quantity") & (F.col("price") > 0) & (F.col("quantity") > 0) & F.col("buyer_is_maker").isNotNull())
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, "events", sf_dir, lambda: build_events(quotes(spark, sf_dir)))
 
@@ -92,9 +110,20 @@ def score_rows(base: DataFrame, name: str, decimals: int = 9) -> DataFrame:
 
 def train_majority(data: DataFrame) -> DataFrame:
     """horizon, majority: the most frequent training label; three rows."""
-    counts = [F.sum((F.col(f"y_{h}") == v).cast("long")).alias(f"c{h}_{i}") for h in SPEC.horizons for i, v in enumerate(LABELS)]
-    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), majority_class([F.col(f"c{h}_{i}") for i in range(3)]).alias("majority")) for h in SPEC.horizons])
-    return data.where(F.col("split") == SPLITS[0]).agg(*counts).select(F.explode(rows).alias("r")).select("r.*")
+    return majority_by_horizon(data.where(F.col("split") == SPLITS[0]), SPEC.horizons)
+
+
+def compact(base: DataFrame, decimals: int | None = 9) -> DataFrame:
+    """Test predictions of the full model, a row each: ids, diagnostics, and six columns a horizon. No row is multiplied."""
+    out = base
+    for h in SPEC.horizons:
+        z = frozen_models()["full_logistic"][h].logits()
+        names = [f"proba_{n}_h{h}" for n in ("down", "unchanged", "up")]
+        out = softmax_columns(out.withColumns({f"z{i}": x for i, x in enumerate(z)}), ["z0", "z1", "z2"], names, decimals)
+        p = [F.col(n) for n in names]
+        out = out.withColumns({f"y_true_h{h}": F.col(f"y_{h}"), f"y_pred_argmax_h{h}": argmax_label(p, LABELS), f"y_pred_thresholded_h{h}": threshold_label(p[0], p[2], *THRESHOLDS[h])})
+    six = [f"{c}_h{h}" for h in SPEC.horizons for c in ("y_true", "y_pred_argmax", "y_pred_thresholded", "proba_down", "proba_unchanged", "proba_up")]
+    return out.select("event_id", "us", F.col("relative_spread").cast("float").alias("relative_spread"), F.col("realized_vol_20").cast("float").alias("realized_vol_20"), "trade_intensity", *six)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

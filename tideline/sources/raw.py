@@ -1,7 +1,8 @@
 """Raw daily archives: zipped CSV files of quotes and trades, read as typed columns.
 
 Paths are listed on the driver, archives are opened where a task reads them, and rows leave as Arrow batches of bounded
-size; types are then cast by Spark. Values that do not parse become null, an archive without a CSV member is an error.
+size; types are then cast by Spark. Values that do not parse become null; an archive without a CSV member,
+or whose header lacks a required column, is an error.
 """
 
 from __future__ import annotations
@@ -12,22 +13,39 @@ import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import date
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import dates_between, parse_bool
+from tideline.sources.names import stem
+from tideline.sources.sinks import write_table
 
 #: File columns in order, for archives without a header line.
-QUOTE_COLUMNS = ("update_id", "best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty", "transaction_time", "event_time")
-TRADE_COLUMNS = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "transact_time", "is_buyer_maker")
-#: Other names that a header may use.
-ALIASES = {
-    "bid_price": "best_bid_price", "bid_qty": "best_bid_qty", "bid_size": "best_bid_qty", "ask_price": "best_ask_price", "ask_qty": "best_ask_qty", "ask_size": "best_ask_qty",
-    "a": "agg_trade_id", "p": "price", "q": "quantity", "f": "first_trade_id", "l": "last_trade_id", "t": "transact_time", "m": "is_buyer_maker", "qty": "quantity", "buyer_is_maker": "is_buyer_maker",
-}
+QUOTE_COLUMNS = ("update_id", "bid_price", "bid_size", "ask_price", "ask_size", "transaction_time", "event_time")
+TRADE_COLUMNS = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "trade_time", "buyer_is_maker")
+#: Other names that the header of a quote file may use.
+QUOTE_ALIASES = {
+    "best_bid_price": "bid_price",
+    "best_bid_qty": "bid_size",
+    "best_ask_price": "ask_price",
+    "best_ask_qty": "ask_size",
+}
+#: Other names that the header of a trade file may use.
+TRADE_ALIASES = {
+    "transact_time": "trade_time",
+    "is_buyer_maker": "buyer_is_maker",
+    "Aggregate tradeId": "agg_trade_id",
+    "Price": "price",
+    "Quantity": "quantity",
+    "First tradeId": "first_trade_id",
+    "Last tradeId": "last_trade_id",
+    "Timestamp": "trade_time",
+    "Transact time": "trade_time",
+    "Transact Time": "trade_time",
+    "Was the buyer the maker": "buyer_is_maker",
+}
 BATCH_ROWS = 50_000
 
 
@@ -91,7 +109,7 @@ def has_header(first: list[str]) -> bool:
     return False
 
 
-def _unzip(columns: tuple[str, ...]):
+def _unzip(columns: tuple[str, ...], aliases: dict[str, str]):
     names = ["source_file", "raw_row_number", *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +126,9 @@ def _unzip(columns: tuple[str, ...]):
                             continue
                         order = list(columns)
                         if has_header(first):
-                            order = [ALIASES.get(n := c.strip().lower(), n) for c in first]
+                            order = [aliases.get(n := c.strip().lstrip("\ufeff"), n) for c in first]
+                            if missing := sorted(set(columns) - set(order)):
+                                raise ValueError(f"{path} has no columns {missing}")
                         else:
                             lines = itertools.chain([first], lines)
                         at = [order.index(c) if c in order else None for c in columns]
@@ -122,11 +142,13 @@ def _unzip(columns: tuple[str, ...]):
     return run
 
 
-def _scan(spark: SparkSession, paths: list[str], columns: tuple[str, ...]) -> DataFrame:
+def _scan(spark: SparkSession, paths: list[str], columns: tuple[str, ...], aliases: dict[str, str]) -> DataFrame:
+    if not paths:
+        raise ValueError("no archives to read")
     # a scan task is dealt at most spark.sql.files.maxPartitionBytes, or one larger archive
     schema = "source_file string, raw_row_number long, " + ", ".join(f"`{c}` string" for c in columns)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(_unzip(columns), schema)
+    return files.mapInArrow(_unzip(columns, aliases), schema)
 
 
 def _number(name: str, kind: str) -> Column:
@@ -135,19 +157,19 @@ def _number(name: str, kind: str) -> Column:
 
 def scan_quotes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """us, update_id, prices and sizes, source_file, raw_row_number of zipped quote files."""
-    q = _scan(spark, paths, QUOTE_COLUMNS)
+    q = _scan(spark, paths, QUOTE_COLUMNS, QUOTE_ALIASES)
     return q.select(
-        (_number("event_time", "bigint") * 1000).alias("us"), _number("update_id", "bigint").alias("update_id"), _number("best_bid_price", "double").alias("bid_price"),
-        _number("best_ask_price", "double").alias("ask_price"), _number("best_bid_qty", "double").alias("bid_size"), _number("best_ask_qty", "double").alias("ask_size"), "source_file", "raw_row_number",
+        (_number("event_time", "bigint") * 1000).alias("us"), _number("update_id", "bigint").alias("update_id"), _number("bid_price", "double").alias("bid_price"),
+        _number("ask_price", "double").alias("ask_price"), _number("bid_size", "double").alias("bid_size"), _number("ask_size", "double").alias("ask_size"), "source_file", "raw_row_number",
     )
 
 
 def scan_trades(spark: SparkSession, paths: list[str]) -> DataFrame:
     """us, trade_id, price, quantity, buyer_is_maker (null unless true/false/1/0), source_file, raw_row_number of zipped trade files."""
-    t = _scan(spark, paths, TRADE_COLUMNS)
+    t = _scan(spark, paths, TRADE_COLUMNS, TRADE_ALIASES)
     return t.select(
-        (_number("transact_time", "bigint") * 1000).alias("us"), _number("agg_trade_id", "bigint").alias("trade_id"), _number("price", "double").alias("price"),
-        _number("quantity", "double").alias("quantity"), parse_bool(F.col("is_buyer_maker")).alias("buyer_is_maker"), "source_file", "raw_row_number",
+        (_number("trade_time", "bigint") * 1000).alias("us"), _number("agg_trade_id", "bigint").alias("trade_id"), _number("price", "double").alias("price"),
+        _number("quantity", "double").alias("quantity"), parse_bool(F.col("buyer_is_maker")).alias("buyer_is_maker"), "source_file", "raw_row_number",
     )
 
 
@@ -157,5 +179,14 @@ def in_days(rows: DataFrame, start: date, end: date) -> DataFrame:
     return rows.where((F.col("us") >= edge(start)) & (F.col("us") < edge(end) + 86_400_000_000))
 
 
-def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def build_raw(spark: SparkSession, fetch: Callable[[str], bytes | None], base: str, folder: str, target: str, symbol: str, start: str | date, end: str | date, kinds: tuple[str, str] = ("bookTicker", "aggTrades"), overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fetch the archives of both feeds, read the days of the range, and write both as tables under ``target``; (quotes, trades)."""
+    days = dates_between(start, end)
+    for kind in kinds:
+        fetch_days(spark, fetch, base, folder, symbol, kind, start, end)
+    out = []
+    for kind, name, scan in zip(kinds, ("quotes", "trades"), (scan_quotes, scan_trades), strict=True):
+        path = f"{target}/{stem(f'raw_{name}', symbol, days[0], days[-1])}"
+        write_table(in_days(scan(spark, complete_range(spark, folder, symbol, kind, start, end)), days[0], days[-1]), path, overwrite)
+        out.append(spark.read.parquet(path))
+    return out[0], out[1]
