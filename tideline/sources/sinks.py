@@ -57,10 +57,16 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
     fs.mkdirs(old.getParent())
     if had and not fs.rename(old, aside):
         raise OSError(f"cannot set {target} aside")
-    if not fs.rename(new, old):
+    try:
+        done = bool(fs.rename(new, old))
+    except Exception as e:  # some stores raise where others return false
+        done, cause = False, e
+    else:
+        cause = None
+    if not done:
         if had:
             fs.rename(aside, old)
-        raise OSError(f"cannot put {staged} in the place of {target}")
+        raise OSError(f"cannot put {staged} in the place of {target}") from cause
     if had:
         fs.delete(aside, True)
 

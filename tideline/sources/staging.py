@@ -1,11 +1,13 @@
 """Stage tables: a stage's result is written as Parquet once and read by the stages after it.
 
 They lie in the folder that all executors share (spark.checkpoint.dir; a temporary one in local mode only), are kept for
-the session by name and input, and go when the JVM ends. ``forget`` drops what is remembered.
+the session by name and input files (names, sizes, times: a rewritten input is another one), and go when the JVM ends.
+``forget`` drops what is remembered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,9 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """The files under an input folder with their sizes and times of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        parts.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()
+
+
 def staged(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The stage ``name`` over ``source``; made and written at the first call of this application."""
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, f"{source}@{fingerprint(spark, source)}")
     if key not in _kept:
         path = f"{shared_folder(spark)}/{key[0]}/stage-{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
