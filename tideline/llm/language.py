@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, doc_crc, id_type, materialize, ship, small_batches
+from tideline.llm.common import as_bytes, discard, doc_crc, id_type, materialize, ship, small_batches
 
 TRAIN_ROWS = 2500
 ROUNDS = 3
@@ -285,12 +285,11 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_crc(F.col("doc_id")) % 5 != 0)).select("lang", "text", "doc_id")
     shares = materialize(usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count(F.lit(1))).alias("share")), "shares")
-    if shares.count() <= BROADCAST_LANGUAGES:  # else the texts shuffle by language
-        shares = F.broadcast(shares)
+    several = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares  # else the texts shuffle by language
     place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ship(spark)
     small_batches(spark)
-    chosen = usable.join(shares, "lang").where(place < F.col("share")).select("lang", "text")
+    chosen = usable.join(several, "lang").where(place < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -301,7 +300,9 @@ def training_words(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
             words = [(w, c) for chunk, c in of.items() for w in runs(chunk)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array([w for w, _ in words], pa.string()), pa.array([c for _, c in words], pa.int64())], names=["lang", "word", "c"])
 
-    return materialize(chosen.mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
+    words = materialize(chosen.mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
+    discard(shares)
+    return words
 
 
 _kept: dict[str, object] = {}
@@ -352,6 +353,7 @@ def train(docs: DataFrame, model: bytes, rows: int = TRAIN_ROWS, rounds: int = R
         counts = np.full(table.shape, SMOOTH)
         counts[found["piece"].to_numpy(), [column[x] for x in found["lang"].to_pylist()]] += found["e"].to_numpy()
         table = counts / counts.sum(0)
+    discard(words)
     return languages, vocab, table
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ASCII_LOWER, as_bytes, doc_crc, id_type, materialize, ship, small_batches
+from tideline.llm.common import ASCII_LOWER, as_bytes, discard, doc_crc, id_type, materialize, ship, small_batches
 from tideline.llm.wordtable import head_threshold, word_counts
 
 STATES = 8
@@ -496,6 +496,7 @@ def score_texts(docs: DataFrame, states: int = STATES) -> DataFrame:
     chain = seed_chain([t for t in seeds if len(t) > 1], prior, states)
     for _ in range(SAMPLE_ROUNDS):
         chain, _ = _round(sample, chain, prior)
+    discard(sample)
     chain = settle(train, chain, prior, total)
     ratio = word_ratios(train, chain, classes, numbers)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ASCII_LOWER, as_bytes, doc_crc, id_type, materialize, ship, small_batches
+from tideline.llm.common import ASCII_LOWER, as_bytes, discard, doc_crc, id_type, materialize, ship, small_batches
 
 WORD_BINS = 1 << 15
 STAT_BINS = 24
@@ -154,11 +154,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
             found = _made(b)
             yield pa.RecordBatch.from_arrays([b.column("place"), b.column("y"), pa.array([len(i) for i, _ in found], pa.int64()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["place", "y", "n", "i", "x"])
 
-    table = materialize(texts.mapInArrow(run, "place long, y int, n long, i binary, x binary"), "features")
+    table = written = materialize(texts.mapInArrow(run, "place long, y int, n long, i binary, x binary"), "features")
     count = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("place").alias("most")).first()
     if count.n > TRAIN_FEATURES:  # very long texts: fewer of them
         table = table.where(F.col("place") < F.lit(int(count.most * TRAIN_FEATURES / count.n)))
     made = table.toArrow()
+    discard(written)
     out = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y, d) for d, y, i, x in zip(*(made[c].to_pylist() for c in ("place", "y", "i", "x")), strict=True)]
     return [r[:3] for r in sorted(out, key=lambda r: (r[3], r[2], r[0].tobytes()))]
 

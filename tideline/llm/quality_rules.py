@@ -193,6 +193,7 @@ def _judged(docs: DataFrame, columns: list, names: list[str] | None, schema: str
         lists: dict[str | None, set[int]] = {}
         for r in above.collect():
             lists.setdefault(r.host, set()).add(r.h)
+        discard(above)
         return wide.drop("key").mapInArrow(_judge(names, depleted, docs.sparkSession.sparkContext.broadcast(lists)), schema)
     # a text of a host has one verdict, however many copies there are; a line's rows are dealt over many tasks
     salted = above.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")).alias("a")
