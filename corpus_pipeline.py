@@ -1,7 +1,15 @@
 """A corpus pipeline of five stages: quality rules, near-dedup, decontamination, mixing to target weights, sharding.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents;
-the last adds ``shard``. Between stages the rows are written as Parquet in the shared folder and read again.
+the last adds ``shard``. Between stages the rows are written as Parquet in the shared folder and read again; a stage's table
+is deleted when the next one is written.
+
+Cases: null and empty texts fail the quality rules, so only a stage that is run by itself meets them (near-dedup takes
+texts without words as one class and each null text as its own; decontamination keeps both; mixing drops them, as no
+words are taken; sharding places them); an empty table gives an empty one at every stage, an empty benchmark contaminates
+nothing; repeated rows are one class of near-dedup, so one of them stays; ties go to the least id, then the least hash of
+the text; rows without an id are documents like others; very long texts are read whole; extra columns pass through all stages, whatever their names,
+but for one named ``shard``, which the last stage replaces; ids keep their type.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontam, dedup, mixing, quality_rules, sharding
-from tideline.llm.common import materialize
+from tideline.llm.common import discard, materialize
 from tideline.session import table
 
 SHARDS = 16
@@ -48,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

@@ -55,6 +55,9 @@ def test_dataset_access(spark, folder, tmp_path):
     with pytest.raises(ValueError, match="not whole"):
         datasets.id_range(whole, 890, 905)
     assert sorted(r.event_id for r in datasets.by_ids(whole, spark.createDataFrame([(3,), (3,), (8,), (9999,)], "event_id long")).collect()) == [3, 8]
+    name = datasets.table_files(spark, f"{folder}/other.parquet")[0]
+    first = [r.event_id for r in datasets.file_rows(spark, f"{folder}/other.parquet", name, 0, 7, ("event_id",)).collect()]
+    assert len(first) == 7 and [r.event_id for r in datasets.file_rows(spark, f"{folder}/other.parquet", name, 3, 2).collect()] == first[3:5]
     assert all(n.endswith(".parquet") for n in datasets.table_files(spark, f"{folder}/other.parquet")) and datasets.table_rows(spark, f"{folder}/other.parquet") == 900
 
 

@@ -102,6 +102,13 @@ def table_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in listing(spark, path) if n.endswith(".parquet") and n[0] not in "._")
 
 
+def file_rows(spark: SparkSession, path: str, name: str, first: int, count: int, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``first`` to ``first + count - 1`` of one of a table's files, like those of a row group, pruned to ``columns``; only that file is read."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    at = F.col("_metadata.row_index")
+    return rows.where((at >= first) & (at < first + count)).select(*(columns or rows.columns))
+
+
 def table_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
