@@ -35,7 +35,7 @@ def test_collapse_equals_a_loop(spark):
     rows = [(rng.randrange(400), i, *[rng.choice([7.0, 8.0, 9.0]) if rng.random() < 0.93 else rng.choice(odd) for _ in BOOK_STATE]) for i in range(500)]
     q = spark.createDataFrame(rows, QUOTES)
     want = plain_events(rows)
-    for width in (None, 1000, 13, 1):  # one bucket, and states carried from bucket to bucket
+    for width in (None, 13):  # one bucket, and states carried from bucket to bucket
         got = events.build_events(q, width).orderBy("event_id").collect()
         assert [r.update_id for r in got] == want and [r.event_id for r in got] == list(range(len(want)))
     s = events.build_summary(q, events.build_events(q)).first()
@@ -71,7 +71,7 @@ def test_trades_of_the_open_interval(spark):
     trades = [(rng.randrange(-200, 3000), float(rng.randrange(1, 9)), rng.random() < 0.5) for _ in range(300)]
     e = spark.createDataFrame(list(enumerate(times)), "event_id long, us long")
     t = spark.createDataFrame(trades, "us long, quantity double, buyer_is_maker boolean")
-    for bucket in (None, 100_000, 250):
+    for bucket in (None, 250):
         for r in timerange.trade_flow(e, t, 200, bucket).collect():
             near = [x for x in trades if r.us - 200 < x[0] < r.us]
             sign = [-1 if m else 1 for _, _, m in near]
@@ -172,7 +172,7 @@ def test_grid_equals_every_pair_counted(spark):
 def test_ranges_change_nothing(spark, ties):
     """AUC, precision, lift and quantiles with one range and with many, against plain loops."""
     rows, s = scores(spark, 300, 55, ties)
-    for n in (1, 7, 64):
+    for n in (1, 64):
         for r in probability.auc_and_precision(s, ["horizon"], n).collect():
             column = {-1: 3, 0: 4, 1: 5}[r.label]
             x = [(row[column], row[2] == r.label) for row in rows if row[1] == r.horizon]

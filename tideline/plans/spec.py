@@ -6,13 +6,16 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
+#: The classes and the splits, in this order.
 LABELS = (-1, 0, 1)
 SPLITS = ("train", "validation", "test")
-#: The features, in the order of the model's coefficients.
+#: The features, in the order of the model's coefficients. The last three carry no length of the lookback in
+#: their names, as it is a parameter here.
 FEATURES = (
     "relative_spread", "queue_imbalance", "log_bid_size", "log_ask_size", "delta_bid_size", "delta_ask_size", "mid_return_5", "realized_vol_20",
     "trade_intensity", "signed_count_imbalance", "signed_volume_imbalance",
 )
+#: The columns of the book's state.
 BOOK_STATE = ("bid_price", "ask_price", "bid_size", "ask_size")
 
 
