@@ -54,7 +54,7 @@ BROADCAST_ROWS = 500_000
 #: A node or class with at least 1 / SHARES of all rows is joined by broadcast; there are at most SHARES of them.
 SHARES = 1000
 #: Elements in one vectorised step, and distinct words whose hashes a worker remembers.
-STEP, REMEMBER = 200_000, 300_000
+STEP, REMEMBER = 200_000, 100_000
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31, _S11, _S32 = (np.uint64(x) for x in (30, 27, 31, 11, 32))
@@ -184,6 +184,7 @@ def _sign(weighting: str):
                         waiting = 0
             flush()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(node, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "bits", "bands"])
+        _word_hashes.clear()  # the worker goes on to other stages
 
     return run
 
@@ -208,6 +209,7 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [elements(t) for t in as_bytes(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["node", "elements", "counts"])
+    _word_hashes.clear()
 
 
 def _similarity(weighting: str):

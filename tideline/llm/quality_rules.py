@@ -44,7 +44,7 @@ DEPLETED = 0.8
 BROADCAST_LINES, SALT = 100_000, 16
 #: The sketch: words in a window, factors of their hashes, and the prime that orders windows.
 SKETCH, FACTORS, PRIME = 5, np.array([1640531527, 1181783497, 2024237689, 1399733957, 1879048201]), 2147483647
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # white space, and UTF-8 bytes after a character's first
@@ -112,6 +112,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.extend({line_hash(line) for line in normal.split(b"\n") if line.strip()})
             offsets.append(len(hashes))
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(sketches, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes, pa.int64()))], names=["host", "sketch", "lines"])
+    _word_hashes.clear()  # the worker goes on to other stages
 
 
 def lines_above(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
