@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import date
 
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import dates_between, parse_date, parse_horizons, parse_splits, threshold_label, window_us
 from tideline.operators import audit, events, features, metrics, probability, quality, ranks, regimes, splits, timerange, validate
-from tideline.operators.models import FrozenModel, score
+from tideline.operators.models import FrozenModel, logits_by_horizon, score
 from tideline.operators.ordering import bucket_width
-from tideline.plans.spec import BOOK_STATE, SPLITS, Spec
+from tideline.plans import fixtures as fx
+from tideline.plans.spec import BOOK_STATE, FEATURES, SPLITS, Spec
+from tideline.sources import staging
 
 QUOTES = "us long, update_id long, bid_price double, ask_price double, bid_size double, ask_size double"
 DAY = 86_400_000_000
+SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 def plain_events(rows):
@@ -78,6 +82,68 @@ def test_trades_of_the_open_interval(spark):
             assert (r.trade_count, r.signed_count, r.volume, r.signed_volume) == (len(near), sum(sign), sum(x[1] for x in near), sum(s * x[1] for s, x in zip(sign, near, strict=True)))
 
 
+@pytest.mark.parametrize("lookback", [1, 7, 900])
+def test_trade_flow_takes_running_sums(spark, lookback):
+    """Ties, negative times, many trades in an interval; no frame is summed anew for each event."""
+    rng = random.Random(lookback)
+    times = sorted(rng.choices(range(-500, 1500), k=120))
+    trades = [(rng.randrange(-900, 1500), float(rng.randrange(1, 9)), rng.random() < 0.5) for _ in range(600)]
+    e = spark.createDataFrame(list(enumerate(times)), "event_id long, us long")
+    t = spark.createDataFrame(trades, "us long, quantity double, buyer_is_maker boolean")
+    for bucket in (None, 1000):
+        flow = timerange.trade_flow(e, t, lookback, bucket)
+        frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", flow._jdf.queryExecution().executedPlan().toString())
+        assert frames and all(f.startswith("unboundedpreceding") for f in frames)
+        got = flow.orderBy("event_id").collect()
+        assert [(r.event_id, r.us) for r in got] == list(enumerate(times))
+        for r in got:
+            near = [x for x in trades if r.us - lookback < x[0] < r.us]
+            sign = [-1 if m else 1 for _, _, m in near]
+            assert (r.trade_count, r.signed_count, r.volume, r.signed_volume) == (len(near), sum(sign), sum(x[1] for x in near), sum(s * x[1] for s, x in zip(sign, near, strict=True)))
+
+
+#: Bytes of a method beyond which HotSpot does not compile it.
+JIT_BYTES = 8000
+
+
+def method_sizes(df):
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    return [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+
+
+def test_projected_rows_are_computed_once(spark):
+    """Filters hold no rule of a projected column again, and their code can be compiled."""
+    for rows in (fx.quotes(spark, SMOKE_DIR).where(events.valid_quote()), fx.trades(spark, SMOKE_DIR)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("round(") == 1
+        assert max(method_sizes(rows)) < JIT_BYTES
+
+
+def test_scores_by_horizon(spark):
+    """The same bits as the logits of each horizon's model, in code that can be compiled."""
+    features_of = {f: (F.rand(i) - 0.5).cast("float" if i % 2 else "double") for i, f in enumerate(FEATURES)}
+    data = spark.range(200).select(F.col("id").alias("event_id"), F.lit(0).alias("us"), F.lit("test").alias("split"), *[c.alias(f) for f, c in features_of.items()], *[(F.col("id") % (2 + i) - 1).cast("int").alias(f"y_{h}") for i, h in enumerate(fx.SPEC.horizons)]).localCheckpoint()
+    for name, of in fx.frozen_models().items():
+        got = {(r.event_id, r.horizon): r[2:] for r in logits_by_horizon(data, of, ["event_id"]).collect()}
+        assert len(got) == 600
+        for h, m in of.items():
+            for r in data.select("event_id", f"y_{h}", *m.logits()).collect():
+                assert got[r.event_id, h] == r[1:]
+        assert max(method_sizes(fx.score_rows(data.withColumn("trade_intensity", F.col("trade_intensity").cast("int")), name))) < JIT_BYTES
+    two = {10: fx.frozen_models()["full_logistic"][10], 20: fx.frozen_models()["queue_logistic"][20]}
+    with pytest.raises(ValueError, match="same features"):
+        logits_by_horizon(data, two, ["event_id"])
+
+
+def test_confusion_without_written_predictions(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_kept", {})
+    got = {(r.model, r.horizon, r.split): [r[c] for c in metrics.CELLS] for r in fx.prediction_confusion(spark, SMOKE_DIR).collect()}
+    assert "predictions" not in {name for _, name, _ in staging._kept}
+    want = {}
+    for r in fx.predictions(spark, SMOKE_DIR).collect():
+        want.setdefault((r.model, r.horizon, r.split), [0] * 9)[3 * (r.y_true + 1) + r.y_pred + 1] += 1
+    assert got == want
+
+
 def test_bucketed_features_equal_one_bucket(spark):
     rows = [(i, i * 1000, 100 + (i * 7 % 5) * 0.5, 101 + (i * 7 % 5) * 0.5, 1.0 + i % 3, 2.0, 100.5 + (i * 7 % 5) * 0.5) for i in range(200)]
     e = spark.createDataFrame(rows, "event_id long, us long, bid_price double, ask_price double, bid_size double, ask_size double, midprice double")

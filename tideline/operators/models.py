@@ -120,6 +120,24 @@ def load_models(spark: SparkSession, bases: dict[int, str], **required) -> dict[
     return out
 
 
+def logits_by_horizon(data: DataFrame, models: dict[int, FrozenModel], keep: list[str]) -> DataFrame:
+    """A row for each horizon: ``keep``, horizon, y_true and the logits z0, z1, z2 of its model.
+
+    Each row brings its model's numbers, so the rule of a logit stands in the generated code once, not once a horizon: the
+    code of many models would be too large for the JIT compiler. Numbers and their order are those of ``logits``.
+    """
+    names = next(iter(models.values())).features
+    if any(m.features != names for m in models.values()):
+        raise ValueError("the models of all horizons need the same features")
+    numbers = lambda m: {**{f"m{i}": x for i, x in enumerate(m.mean)}, **{f"s{i}": x for i, x in enumerate(m.scale)}, **{f"b{k}": x for k, x in enumerate(m.intercepts)}, **{f"w{k}_{i}": x for k, row in enumerate(m.coefficients) for i, x in enumerate(row)}}
+    long = data.withColumn("__m", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.lit(x).alias(n) for n, x in numbers(m).items()]) for h, m in models.items()])))
+    m = F.col("__m")
+    y_true = F.coalesce(*[F.when(m["horizon"] == h, F.col(f"y_{h}")) for h in models])
+    scaled = long.select(*keep, m["horizon"].alias("horizon"), y_true.alias("y_true"), "__m", *[((F.col(f).cast("double") - m[f"m{i}"]) / m[f"s{i}"]).alias(f"__x{i}") for i, f in enumerate(names)])
+    z = [reduce(lambda x, y: x + y, [m[f"w{k}_{i}"] * F.col(f"__x{i}") for i in range(len(names))], m[f"b{k}"]).alias(f"z{k}") for k in range(len(LABELS))]
+    return scaled.select(*keep, "horizon", "y_true", *z)
+
+
 def softmax_columns(data: DataFrame, logits: list[str], names: list[str], decimals: int | None = None) -> DataFrame:
     """Replace columns of logits by probabilities, in named steps that keep generated code small."""
     top = data.withColumn("__top", F.greatest(*logits))

@@ -11,7 +11,7 @@ from tideline.functions.scalar import all_finite, argmax_label, micros, threshol
 from tideline.operators.events import build_events
 from tideline.operators.features import build_features
 from tideline.operators.metrics import confusion, majority_by_horizon
-from tideline.operators.models import FrozenModel, softmax_columns
+from tideline.operators.models import FrozenModel, logits_by_horizon, softmax_columns
 from tideline.operators.splits import assign_splits
 from tideline.plans.spec import FEATURES, LABELS, SPLITS, Spec
 from tideline.session import table
@@ -24,8 +24,16 @@ START_US, END_US = window_us(START, END - timedelta(days=1))  # the last day of
 THRESHOLDS = {10: (0.35, 0.35), 20: (0.375, 0.375), 50: (0.4, 0.4)}
 
 
+def _named(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, by a generator of one row: filters on them do not pass it, so no mention of one in a filter computes it anew.
+
+    Else the filter on valid quotes, say, holds each column's whole rule dozens of times, in code too large for the JIT compiler.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _cents(e: DataFrame) -> DataFrame:
-    return e.select(micros("ts").alias("us"), "event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("c"))
+    return _named(e, ["event_id", "user_id", "event_type"], us=micros("ts"), c=F.round(F.col("value") * 100).cast("long"))
 
 
 def _odd(c: Column, *cases: tuple[int, Column]) -> Column:
@@ -40,19 +48,21 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with crossed, NaN, infinite and null ones among them."""
     nan, inf, null = F.lit(float("nan")), F.lit(float("inf")), F.lit(None).cast("double")
     step = F.when(F.col("c") % 97 == 0, -1).otherwise(1 + F.col("user_id") % 2)
-    return _cents(table(spark, sf_dir, "events")).select(
-        "us", F.col("event_id").alias("update_id"), _odd((6000000 + F.col("c") % 3).cast("double") / 100, (211, nan), (223, -inf)).alias("bid_price"), _odd((6000000 + F.col("c") % 3 + step).cast("double") / 100, (227, inf), (229, nan)).alias("ask_price"),
-        _odd((1 + F.col("c") % 2).cast("double"), (233, null), (239, F.lit(0.0))).alias("bid_size"), _odd((1 + F.col("user_id") % 2).cast("double"), (241, F.lit(-1.0)), (251, -inf)).alias("ask_size"),
-        F.col("event_id").alias("raw_row_number"),
-    )
+    return _named(
+        _cents(table(spark, sf_dir, "events")), ["us", "event_id"],
+        bid_price=_odd((6000000 + F.col("c") % 3).cast("double") / 100, (211, nan), (223, -inf)), ask_price=_odd((6000000 + F.col("c") % 3 + step).cast("double") / 100, (227, inf), (229, nan)),
+        bid_size=_odd((1 + F.col("c") % 2).cast("double"), (233, null), (239, F.lit(0.0))), ask_size=_odd((1 + F.col("user_id") % 2).cast("double"), (241, F.lit(-1.0)), (251, -inf)),
+    ).select("us", F.col("event_id").alias("update_id"), "bid_price", "ask_price", "bid_size", "ask_size", F.col("event_id").alias("raw_row_number"))
 
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades with strange values among them."""
     maker = F.when(F.col("c") % 211 != 0, F.col("user_id") % 2 == 0)
-    return _cents(table(spark, sf_dir, "events")).where(F.col("event_type").isin("purchase", "click")).select(
-        "us", F.col("event_id").alias("agg_trade_id"), _odd((6000000 + F.col("c") % 3).cast("double") / 100, (223, F.lit(float("inf"))), (227, F.lit(0.0))).alias("price"), _odd(F.col("c").cast("double"), (229, F.lit(float("-inf"))), (233, F.lit(float("nan")))).alias("quantity"), maker.alias("buyer_is_maker")
-    )
+    rows = _cents(table(spark, sf_dir, "events")).where(F.col("event_type").isin("purchase", "click"))
+    return _named(
+        rows, ["us", "event_id"],
+        price=_odd((6000000 + F.col("c") % 3).cast("double") / 100, (223, F.lit(float("inf"))), (227, F.lit(0.0))), quantity=_odd(F.col("c").cast("double"), (229, F.lit(float("-inf"))), (233, F.lit(float("nan")))), buyer_is_maker=maker,
+    ).select("us", F.col("event_id").alias("agg_trade_id"), "price", "quantity", "buyer_is_maker")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +105,9 @@ def scored(spark: SparkSession, sf_dir: str, name: str = "full_logistic") -> Dat
 
 def score_rows(base: DataFrame, name: str, decimals: int = 9) -> DataFrame:
     """A row for each horizon: y_true, probabilities (rounded, so that engines agree), argmax."""
-    models = frozen_models()[name]
-    # logits first, one row a horizon; each later step names its result, so that no expression is computed twice
-    logits = []
-    for h in SPEC.horizons:
-        z = models[h].logits()
-        logits.append(F.struct(F.lit(h).alias("horizon"), F.col(f"y_{h}").alias("y_true"), z[0].alias("z0"), z[1].alias("z1"), z[2].alias("z2")))
     keep = ["event_id", "us", "split", "relative_spread", "realized_vol_20", "trade_intensity"]
-    long = base.select(*keep, F.explode(F.array(*logits)).alias("r")).select(*keep, "r.*")
+    # each later step names its result, so that no expression is computed twice
+    long = logits_by_horizon(base, frozen_models()[name], keep)
     long = softmax_columns(long, ["z0", "z1", "z2"], ["p_down", "p_unchanged", "p_up"], decimals)
     top = F.greatest("p_down", "p_unchanged", "p_up")
     return long.withColumn("argmax", F.when(F.col("p_down") == top, LABELS[0]).when(F.col("p_unchanged") == top, LABELS[1]).otherwise(LABELS[2]))
@@ -145,4 +150,5 @@ def predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusion(predictions(spark, sf_dir), ["model", "horizon", "split"])
+    """Nine counts for each model, horizon and split, as a stage of its own: counted where the predictions arise, which need not be written for it."""
+    return staged(spark, "confusion", sf_dir, lambda: confusion(predict_all(spark, sf_dir), ["model", "horizon", "split"]))
