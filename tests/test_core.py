@@ -13,6 +13,7 @@ from tideline.functions.scalar import dates_between, parse_date, parse_horizons,
 from tideline.operators import audit, events, features, metrics, probability, quality, ranks, regimes, splits, timerange, validate
 from tideline.operators.models import FrozenModel, logits_by_horizon, score
 from tideline.operators.ordering import bucket_width
+from tideline.plans import catalog
 from tideline.plans import fixtures as fx
 from tideline.plans.spec import BOOK_STATE, FEATURES, SPLITS, Spec
 from tideline.sources import staging
@@ -144,6 +145,19 @@ def test_confusion_without_written_predictions(spark, monkeypatch):
     assert got == want
 
 
+def test_threshold_predictions_score_one_model(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_kept", {})
+    got = catalog.QUERIES["threshold_predictions"](spark, SMOKE_DIR)
+    assert {name for _, name, _ in staging._kept} == {"events", "features", "model-data", "scores-full_logistic"}
+    scores = {(r.event_id, r.horizon): r for r in fx.scored(spark, SMOKE_DIR).collect()}
+    rows = got.collect()
+    assert len(rows) == len(scores) > 0
+    for r in rows:
+        s, (t_down, t_up) = scores[r.event_id, r.horizon], fx.THRESHOLDS[r.horizon]
+        want = 1 if s.p_up >= t_up and s.p_up >= s.p_down else -1 if s.p_down >= t_down and s.p_down > s.p_up else 0
+        assert (r.y_true, r.y_pred) == (s.y_true, want)
+
+
 def test_bucketed_features_equal_one_bucket(spark):
     rows = [(i, i * 1000, 100 + (i * 7 % 5) * 0.5, 101 + (i * 7 % 5) * 0.5, 1.0 + i % 3, 2.0, 100.5 + (i * 7 % 5) * 0.5) for i in range(200)]
     e = spark.createDataFrame(rows, "event_id long, us long, bid_price double, ask_price double, bid_size double, ask_size double, midprice double")

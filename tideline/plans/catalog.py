@@ -168,7 +168,7 @@ def argmax_predictions(spark, d):
 
 @query
 def threshold_predictions(spark, d):
-    return fx.predictions(spark, d).where("model = 'full_thresholded'").select("event_id", "horizon", "y_true", "y_pred")
+    return fx.scored(spark, d).select("event_id", "horizon", "y_true", fx.thresholded().alias("y_pred"))
 
 
 @query

@@ -136,16 +136,22 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, "predictions", sf_dir, lambda: predict_all(spark, sf_dir))
 
 
+ROW = ["event_id", "us", "split", "relative_spread", "realized_vol_20", "trade_intensity", "horizon", "y_true"]
+
+
+def thresholded() -> Column:
+    """The label that the horizon's frozen thresholds give a row of scores."""
+    t_down, t_up = (F.element_at(F.create_map(*[x for h, t in THRESHOLDS.items() for x in (F.lit(h), F.lit(t[side]))]), F.col("horizon")) for side in (0, 1))
+    return threshold_label(F.col("p_down"), F.col("p_up"), t_down, t_up)
+
+
 def predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, horizon, split, event_id, us, regime features, y_true, y_pred for four models; one pass scores all."""
     base = eligible(spark, sf_dir)
-    keep = ["event_id", "us", "split", "relative_spread", "realized_vol_20", "trade_intensity", "horizon", "y_true"]
-    t_down = F.element_at(F.create_map(*[x for h, (a, _) in THRESHOLDS.items() for x in (F.lit(h), F.lit(a))]), F.col("horizon"))
-    t_up = F.element_at(F.create_map(*[x for h, (_, b) in THRESHOLDS.items() for x in (F.lit(h), F.lit(b))]), F.col("horizon"))
     full = scored(spark, sf_dir, "full_logistic")
-    two = full.select(*keep, F.explode(F.array(F.struct(F.lit("full_logistic").alias("model"), F.col("argmax").alias("y_pred")), F.struct(F.lit("full_thresholded").alias("model"), threshold_label(F.col("p_down"), F.col("p_up"), t_down, t_up).alias("y_pred")))).alias("m")).select(*keep, "m.*")
-    queue = scored(spark, sf_dir, "queue_logistic").select(*keep, F.lit("queue_logistic").alias("model"), F.col("argmax").alias("y_pred"))
-    most = full.select(*keep).join(F.broadcast(train_majority(base)), "horizon").select(*keep, F.lit("majority").alias("model"), F.col("majority").alias("y_pred"))
+    two = full.select(*ROW, F.explode(F.array(F.struct(F.lit("full_logistic").alias("model"), F.col("argmax").alias("y_pred")), F.struct(F.lit("full_thresholded").alias("model"), thresholded().alias("y_pred")))).alias("m")).select(*ROW, "m.*")
+    queue = scored(spark, sf_dir, "queue_logistic").select(*ROW, F.lit("queue_logistic").alias("model"), F.col("argmax").alias("y_pred"))
+    most = full.select(*ROW).join(F.broadcast(train_majority(base)), "horizon").select(*ROW, F.lit("majority").alias("model"), F.col("majority").alias("y_pred"))
     return two.unionByName(queue).unionByName(most)
 
 
